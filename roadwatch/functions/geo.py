@@ -26,8 +26,7 @@ def bearing_deg(lat1, lon1, lat2, lon2) -> Column:
 
 def offset_point(lat, lon, bearing, metres) -> Column:
     """struct(lat, lon) reached by travelling ``metres`` along ``bearing``."""
-    d = metres / S.EARTH_RADIUS_M if isinstance(metres, (int, float)) else metres / F.lit(S.EARTH_RADIUS_M)
-    d = F.lit(d) if isinstance(d, float) else d
+    d = F.lit(metres) / F.lit(S.EARTH_RADIUS_M)
     b, p1 = F.radians(bearing), F.radians(lat)
     sin_p2 = F.sin(p1) * F.cos(d) + F.cos(p1) * F.sin(d) * F.cos(b)
     p2 = F.asin(sin_p2)

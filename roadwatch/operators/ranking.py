@@ -133,3 +133,31 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, qs: dict[s
 def top_value(counts: DataFrame, groups: Sequence[str], value: str, n: str, name: str) -> DataFrame:
     """Most frequent value per group from a (group, value, n) table; ties go to the smallest value."""
     return counts.groupBy(*groups).agg(F.min_by(value, F.struct(-F.col(n), F.col(value))).alias(name))
+
+
+def count_bucket(key: str) -> Column:
+    """Monotone bucket for counts: a few thousand logarithmic ranges, negatives in front."""
+    x = F.col(key)
+    return F.when(x < 0, -1).otherwise(F.floor(F.log1p(F.greatest(x, F.lit(0.0))) * 64)).cast("long")
+
+
+def as_of(values: DataFrame, steps: DataFrame, key: str, payload: str, bucket: Column) -> DataFrame:
+    """For each value the payload of the last step strictly below it.
+
+    Buckets carry the last step of earlier buckets forward, so neither side is
+    sorted in one task.
+    """
+    both = (
+        values.select(F.col(key), F.lit(0).alias("_step"), F.lit(None).cast(steps.schema[payload].dataType).alias(payload))
+        .unionByName(steps.select(F.col(key), F.lit(1).alias("_step"), payload))
+        .withColumn("_bucket", bucket)
+    )
+    last = F.last(payload, ignorenulls=True)
+    in_bucket = Window.partitionBy("_bucket").orderBy(key, "_step").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    tops = both.groupBy("_bucket").agg(F.max_by(payload, F.when(F.col("_step") == 1, F.col(key))).alias("_top"))
+    carried = tops.select("_bucket", F.last("_top", ignorenulls=True).over(before).alias("_carried"))
+    return (
+        both.withColumn("_found", last.over(in_bucket)).filter(F.col("_step") == 0).join(carried, "_bucket")
+        .select(key, F.coalesce("_found", "_carried").alias(payload))
+    )

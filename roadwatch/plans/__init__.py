@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("basic",)
+AREAS = ("basic", "corridors")
 
 
 def load_all() -> None:
