@@ -140,8 +140,9 @@ def portable_hash(key, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def percent(c: Column, digits: int = 0) -> Column:
-    return F.format_string(f"%.{digits}f%%", c * 100)
+def percent(c: Column) -> Column:
+    """Whole percent as text, half-even."""
+    return F.format_string("%.0f%%", F.bround(c * 100))
 
 
 def labelled(value: Column, cuts: list[tuple[float, str]], last: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, functions as F
 
 from roadwatch import settings as S
@@ -24,14 +26,23 @@ def bearing_deg(lat1, lon1, lat2, lon2) -> Column:
     return F.when(turn >= 360.0, turn - 360.0).otherwise(turn)
 
 
-def offset_point(lat, lon, bearing, metres) -> Column:
-    """struct(lat, lon) reached by travelling ``metres`` along ``bearing``."""
-    d = F.lit(metres) / F.lit(S.EARTH_RADIUS_M)
-    b, p1 = F.radians(bearing), F.radians(lat)
-    sin_p2 = F.sin(p1) * F.cos(d) + F.cos(p1) * F.sin(d) * F.cos(b)
-    p2 = F.asin(sin_p2)
-    turn = F.atan2(F.sin(b) * F.sin(d) * F.cos(p1), F.cos(d) - F.sin(p1) * F.sin(p2))
-    return F.struct(F.degrees(p2).alias("lat"), F.degrees(F.radians(lon) + turn).alias("lon"))
+def offset_lat(lat, bearing, metres: float) -> Column:
+    """Latitude reached by travelling ``metres`` along ``bearing``."""
+    d, p = metres / S.EARTH_RADIUS_M, F.radians(lat)
+    return F.degrees(F.asin(F.sin(p) * math.cos(d) + F.cos(p) * math.sin(d) * F.cos(F.radians(bearing))))
+
+
+def offset_lon(lat, lon, bearing, metres: float, new_lat) -> Column:
+    """Longitude that goes with ``offset_lat``."""
+    d, p, b = metres / S.EARTH_RADIUS_M, F.radians(lat), F.radians(bearing)
+    turn = F.atan2(F.sin(b) * math.sin(d) * F.cos(p), math.cos(d) - F.sin(p) * F.sin(F.radians(new_lat)))
+    return F.degrees(F.radians(lon) + turn)
+
+
+def offset_point(lat, lon, bearing, metres: float) -> Column:
+    """struct(lat, lon) of the point reached."""
+    new_lat = offset_lat(lat, bearing, metres)
+    return F.struct(new_lat.alias("lat"), offset_lon(lat, lon, bearing, metres, new_lat).alias("lon"))
 
 
 def path_length_m(points: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from roadwatch import settings as S
 from roadwatch.functions import columns as C
@@ -22,19 +22,19 @@ def corridor_cube(sp: DataFrame) -> DataFrame:
 
 
 def corridor_stats(sp: DataFrame) -> DataFrame:
-    cube = corridor_cube(sp)
-    totals = cube.groupBy("corridor").agg(
-        F.sum("n").alias("event_count"),
-        (F.sum("closures") / F.sum("n")).alias("closure_rate"),
-        (F.sum("highs") / F.sum("n")).alias("high_priority_rate"),
-        (F.sum("impact") / F.sum("n")).alias("mean_impact"),
+    """One row per corridor from one scan: the cube is placed by corridor once and
+    both modes and all totals are taken there. Ties go to the smallest value."""
+    cube = corridor_cube(sp).repartition("corridor").withColumns({
+        "_by_hour": F.sum("n").over(Window.partitionBy("corridor", "hour")),
+        "_by_cause": F.sum("n").over(Window.partitionBy("corridor", "cause")),
+    })
+    n = F.sum("n")
+    return cube.groupBy("corridor").agg(
+        n.alias("event_count"), (F.sum("closures") / n).alias("closure_rate"),
+        (F.sum("highs") / n).alias("high_priority_rate"), (F.sum("impact") / n).alias("mean_impact"),
         F.sum("impact").alias("total_impact"),
-    )
-    by_hour = cube.groupBy("corridor", "hour").agg(F.sum("n").alias("n"))
-    by_cause = cube.groupBy("corridor", "cause").agg(F.sum("n").alias("n"))
-    return (
-        totals.join(top_value(by_hour, ["corridor"], "hour", "n", "peak_hour"), "corridor")
-        .join(top_value(by_cause, ["corridor"], "cause", "n", "dominant_cause"), "corridor")
+        F.min_by("hour", F.struct(-F.col("_by_hour"), F.col("hour"))).alias("peak_hour"),
+        F.min_by("cause", F.struct(-F.col("_by_cause"), F.col("cause"))).alias("dominant_cause"),
     )
 
 
@@ -61,7 +61,8 @@ def minmax_scale(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 def corridor_risk(sp: DataFrame, n: int = S.MIN_CORRIDOR_EVENTS) -> DataFrame:
     """Composite risk (closure, impact, volume) and tier for corridors with at least n events."""
     w = S.RISK_WEIGHTS
-    scaled = minmax_scale(min_events(corridor_stats(sp), n), {
+    stats = min_events(corridor_stats(sp), n).persist()  # one row per corridor; spares the bounds a second scan
+    scaled = minmax_scale(stats, {
         "closure_rate": "_closure", "mean_impact": "_impact", "event_count": "_volume"})
     score = F.round(w["closure"] * F.col("_closure") + w["impact"] * F.col("_impact") + w["volume"] * F.col("_volume"), 4)
     return (
@@ -87,9 +88,8 @@ def rank_corridors(risk: DataFrame) -> DataFrame:
 
 def closure_hotlist(sp: DataFrame, n: int = 30) -> DataFrame:
     """Corridors with at least n events against the overall closure rate."""
-    base = sp.agg(F.avg("closure")).scalar()
-    return (
-        sp.groupBy("corridor").agg(F.count("*").alias("event_count"), F.avg("closure").alias("closure_rate"))
-        .filter(F.col("event_count") >= n)
-        .withColumn("lift", F.col("closure_rate") / F.nullif(base, F.lit(0.0)))
-    )
+    totals = sp.groupBy("corridor").agg(F.count("*").alias("event_count"), F.sum("closure").alias("_closures")).persist()
+    base = totals.agg(F.sum("_closures") / F.sum("event_count")).scalar()
+    rate = F.col("_closures") / F.col("event_count")
+    return totals.filter(F.col("event_count") >= n).select(
+        "corridor", "event_count", rate.alias("closure_rate"), (rate / F.nullif(base, F.lit(0.0))).alias("lift"))

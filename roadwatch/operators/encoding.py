@@ -14,12 +14,15 @@ def blend(n: Column, mean: Column, prior: Column) -> Column:
 
 
 def fit_target_encoding(df: DataFrame, column: str, target: str, prior: Column | None = None) -> DataFrame:
-    """(category, n, encoding); one partially aggregated shuffle plus a scalar."""
-    prior = prior if prior is not None else df.agg(F.avg(target)).scalar()
-    return (
-        df.groupBy(column).agg(F.count("*").alias("n"), F.avg(target).alias("_mean"))
-        .withColumn("encoding", blend(F.col("n"), F.col("_mean"), prior)).drop("_mean")
-    )
+    """(category, n, encoding) from one partially aggregated shuffle.
+
+    Totals per category are kept for the prior, so it costs no second scan.
+    """
+    cells = df.groupBy(column).agg(F.count("*").alias("n"), F.sum(target).alias("_s"))
+    if prior is None:
+        cells = cells.persist()
+        prior = cells.agg(F.sum("_s") / F.sum("n")).scalar()
+    return cells.withColumn("encoding", blend(F.col("n"), F.col("_s") / F.col("n"), prior)).drop("_s")
 
 
 def apply_target_encoding(df: DataFrame, encoding: DataFrame, column: str, prior: Column, name: str) -> DataFrame:
@@ -34,7 +37,7 @@ def out_of_fold_encoding(df: DataFrame, column: str, target: str, name: str, fol
     Totals per (category, fold) are subtracted from totals per category, so the
     encoder is never refitted fold by fold.
     """
-    cells = df.groupBy(column, fold).agg(F.count("*").alias("_n"), F.sum(target).alias("_s"))
+    cells = df.groupBy(column, fold).agg(F.count("*").alias("_n"), F.sum(target).alias("_s")).persist()
     by_cat = cells.groupBy(column).agg(F.sum("_n").alias("_cn"), F.sum("_s").alias("_cs"))
     by_fold = cells.groupBy(fold).agg(F.sum("_n").alias("_fn"), F.sum("_s").alias("_fs"))
     total = cells.agg(F.struct(F.sum("_n").alias("n"), F.sum("_s").alias("s"))).scalar()

@@ -91,8 +91,7 @@ def simulate_impact(df: DataFrame, compat: bool = False) -> DataFrame:
     hour = C.hour_from_text(F.col("start_datetime").cast("string"))
     peak = hour.between(4, 7) | hour.between(19, 23)
     priority = C.tidy("priority")
-    p = (F.when(priority == "high", S.PRIORITY_PROB["high"]).when(priority == "low", S.PRIORITY_PROB["low"])
-         .when(priority.isNull(), S.PRIORITY_PROB["low"]).otherwise(0.5))
+    p = F.when(priority == "high", S.PRIORITY_PROB["high"]).when(priority == "low", S.PRIORITY_PROB["low"]).otherwise(0.5)
     df = attach_priors(df, C.tidy("event_cause"))
     closure = F.when(C.truth("requires_road_closure", S.TRUTH_RULES) == 1, F.greatest("prior_closure", F.lit(0.85))).otherwise(
         F.col("prior_closure"))
@@ -191,25 +190,32 @@ def finalize_counts(df: DataFrame) -> DataFrame:
     })
 
 
-def geometric_detour(lat, lon, end_lat, end_lon) -> Column:
-    """Five-point bypass beside the incident axis, as a struct."""
-    mid_lat, mid_lon = (lat + end_lat) / 2, (lon + end_lon) / 2
-    axis = geo.bearing_deg(lat, lon, end_lat, end_lon)
-    side = F.when(axis + 90 >= 360, axis - 270).otherwise(axis + 90)
-    points = F.array(
-        geo.offset_point(lat, lon, axis + 180, S.DETOUR_END_M),
-        geo.offset_point(lat, lon, side, S.DETOUR_SIDE_M),
-        geo.offset_point(mid_lat, mid_lon, side, S.DETOUR_MID_M),
-        geo.offset_point(end_lat, end_lon, side, S.DETOUR_SIDE_M),
-        geo.offset_point(end_lat, end_lon, axis, S.DETOUR_END_M),
-    )
-    detour, direct = geo.path_length_m(points), geo.haversine_m(lat, lon, end_lat, end_lon)
-    known = (lat != 0) & (lon != 0) & (end_lat != 0) & (end_lon != 0)
-    return F.struct(
+def geometric_detour(df: DataFrame, lat="plan_lat", lon="plan_lon", end_lat="endlatitude", end_lon="endlongitude") -> DataFrame:
+    """Add ``diversion_route``: a five-point bypass beside the incident axis.
+
+    Built in projections that each use the previous one, so no sine is worked out twice.
+    """
+    a, o = F.coalesce(lat, F.lit(0.0)), F.coalesce(lon, F.lit(0.0))
+    c, d = F.coalesce(end_lat, F.lit(0.0)), F.coalesce(end_lon, F.lit(0.0))
+    out = df.withColumns({"_a": a, "_o": o, "_c": c, "_d": d})
+    a, o, c, d = (F.col(n) for n in ("_a", "_o", "_c", "_d"))
+    out = out.withColumns({"_axis": geo.bearing_deg(a, o, c, d), "_m": (a + c) / 2, "_n": (o + d) / 2,
+                           "_known": (a != 0) & (o != 0) & (c != 0) & (d != 0)})
+    axis = F.col("_axis")
+    out = out.withColumn("_side", F.when(axis + 90 >= 360, axis - 270).otherwise(axis + 90))
+    stops = [(a, o, axis + 180, S.DETOUR_END_M), (a, o, F.col("_side"), S.DETOUR_SIDE_M),
+             (F.col("_m"), F.col("_n"), F.col("_side"), S.DETOUR_MID_M),
+             (c, d, F.col("_side"), S.DETOUR_SIDE_M), (c, d, axis, S.DETOUR_END_M)]
+    out = out.withColumns({f"_y{i}": geo.offset_lat(y, b, m) for i, (y, x, b, m) in enumerate(stops)})
+    out = out.withColumns({f"_x{i}": geo.offset_lon(y, x, b, m, F.col(f"_y{i}")) for i, (y, x, b, m) in enumerate(stops)})
+    legs = [geo.haversine_m(F.col(f"_y{i}"), F.col(f"_x{i}"), F.col(f"_y{i + 1}"), F.col(f"_x{i + 1}")) for i in range(4)]
+    out = out.withColumns({"_detour": legs[0] + legs[1] + legs[2] + legs[3], "_direct": geo.haversine_m(a, o, c, d)})
+    known, detour, direct = F.col("_known"), F.col("_detour"), F.col("_direct")
+    coords = F.array(*[F.array(f"_y{i}", f"_x{i}") for i in range(5)])
+    route = F.struct(
         F.when(known, "ok").otherwise("no_coordinates").alias("status"),
         F.when(known, "geometric_fallback").otherwise("none").alias("method"),
-        F.when(known, F.transform(points, lambda p: F.array(p["lat"], p["lon"]))).otherwise(
-            F.array().cast("array<array<double>>")).alias("route_coords"),
+        F.when(known, coords).otherwise(F.array().cast("array<array<double>>")).alias("route_coords"),
         F.when(known, 5).alias("n_waypoints"),
         F.when(known, F.round(detour / 1000, 2)).alias("detour_distance_km"),
         F.when(known, F.round(direct / 1000, 2)).alias("direct_distance_km"),
@@ -217,16 +223,19 @@ def geometric_detour(lat, lon, end_lat, end_lon) -> Column:
         F.when(known, F.round(detour / 1000 / S.DETOUR_SPEED_KMH * 60, 1)).alias("estimated_time_min"),
         F.lit(0).alias("blocked_nodes"), F.lit(0).alias("blocked_edges"),
     )
+    temp = [n for n in out.columns if n.startswith("_") and n not in df.columns]
+    return out.withColumn("diversion_route", route).drop(*temp)
 
 
-def attach_diversion(df: DataFrame, detour: Callable[..., Column] | None = geometric_detour) -> DataFrame:
-    """Route for triggered plans with end coordinates; ``detour`` is a column function."""
+def attach_diversion(df: DataFrame, detour: Callable[[DataFrame], DataFrame] | None = geometric_detour) -> DataFrame:
+    """Route for triggered plans with end coordinates.
+
+    ``detour`` is a table function that adds ``diversion_route``; any router can be put in.
+    """
     if detour is None:
         return df.withColumn("diversion_route", F.lit(None).cast("struct<status:string>"))
-    end_lat, end_lon = F.coalesce("endlatitude", F.lit(0.0)), F.coalesce("endlongitude", F.lit(0.0))
-    wanted = F.col("diversion_triggered") & (end_lat > 0) & (end_lon > 0)
-    route = detour(F.col("plan_lat"), F.col("plan_lon"), end_lat, end_lon)
-    return df.withColumn("diversion_route", F.when(wanted, route))
+    wanted = F.col("diversion_triggered") & (F.coalesce("endlatitude", F.lit(0.0)) > 0) & (F.coalesce("endlongitude", F.lit(0.0)) > 0)
+    return detour(df).withColumn("diversion_route", F.when(wanted, F.col("diversion_route")))
 
 
 def explanation_trail(df: DataFrame) -> DataFrame:
@@ -265,7 +274,7 @@ def explanation_trail(df: DataFrame) -> DataFrame:
     return df.withColumn("explanation", F.filter(F.array(*reasons), lambda r: r.isNotNull()))
 
 
-def staged_plans(df: DataFrame, risk: DataFrame | None = None, detour: Callable[..., Column] | None = geometric_detour) -> DataFrame:
+def staged_plans(df: DataFrame, risk: DataFrame | None = None, detour: Callable[[DataFrame], DataFrame] | None = geometric_detour) -> DataFrame:
     """All stages over incidents that already carry an impact prediction."""
     if "corridor_risk_tier" not in df.columns:
         if risk is None:
@@ -280,7 +289,7 @@ def staged_plans(df: DataFrame, risk: DataFrame | None = None, detour: Callable[
 
 
 def recommend_batch(df: DataFrame, risk: DataFrame | None = None,
-                    detour: Callable[..., Column] | None = geometric_detour) -> DataFrame:
+                    detour: Callable[[DataFrame], DataFrame] | None = geometric_detour) -> DataFrame:
     """Deployment plans for incidents with impact predictions (one row in, one plan out)."""
     return staged_plans(df, risk, detour).select(
         "incident_id", "cause", F.col("plan_corridor").alias("corridor"), F.col("plan_zone").alias("zone"),

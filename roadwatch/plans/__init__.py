@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("basic", "corridors")
+AREAS = ("basic", "corridors", "deployment")
 
 
 def load_all() -> None:
