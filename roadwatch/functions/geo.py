@@ -46,13 +46,14 @@ def offset_point(lat, lon, bearing, metres: float) -> Column:
 
 
 def path_length_m(points: Column) -> Column:
-    """Length of an ``array<struct<lat,lon>>`` path."""
-    legs = F.zip_with(
-        F.slice(points, F.lit(1), F.size(points) - 1),
-        F.slice(points, F.lit(2), F.size(points) - 1),
-        lambda a, b: haversine_m(a["lat"], a["lon"], b["lat"], b["lon"]),
-    )
-    return F.aggregate(legs, F.lit(0.0), lambda acc, leg: acc + leg)
+    """Length of an ``array<struct<lat,lon>>`` path: one fold that carries the previous point."""
+    start = F.struct(F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.lit(0.0).alias("m"))
+
+    def step(acc, p):
+        leg = F.coalesce(haversine_m(acc["lat"], acc["lon"], p["lat"], p["lon"]), F.lit(0.0))
+        return F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"), (acc["m"] + leg).alias("m"))
+
+    return F.aggregate(points, start, step, lambda acc: acc["m"])
 
 
 def cell_ring(lat, lon, next_lat, next_lon) -> Column:

@@ -292,9 +292,11 @@ def offset_point(spark, sf):
     return incidents(spark, sf).select("id", F.round(p["lat"], 8).alias("lat"), F.round(p["lon"], 8).alias("lon"))
 
 
-def _detours(spark, sf):
-    routes = R.geometric_detour(incidents(spark, sf), "latitude", "longitude")
-    return routes.select("id", F.col("diversion_route").alias("r"))
+def _detours(spark, sf, known_only=False):
+    rows = incidents(spark, sf)
+    if known_only:
+        rows = rows.filter("latitude <> 0 AND longitude <> 0 AND endlatitude <> 0 AND endlongitude <> 0")
+    return R.geometric_detour(rows, "latitude", "longitude").select("id", F.col("diversion_route").alias("r"))
 
 
 @query("geometric_detour", on_incidents(
@@ -313,7 +315,7 @@ def geometric_detour(spark, sf):
 @query("route_length", on_incidents(DETOUR_SQL + " SELECT id, round(m, 3) AS metres FROM dt WHERE known").replace(") , dt0", "), dt0"))
 def route_length(spark, sf):
     points = F.transform("r.route_coords", lambda p: F.struct(p[0].alias("lat"), p[1].alias("lon")))
-    return _detours(spark, sf).filter("r.status = 'ok'").select("id", F.round(geo.path_length_m(points), 3).alias("metres"))
+    return _detours(spark, sf, known_only=True).select("id", F.round(geo.path_length_m(points), 3).alias("metres"))
 
 
 # ------------------------------------------------------------------ full plans

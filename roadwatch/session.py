@@ -18,6 +18,8 @@ def build_session(app: str = "roadwatch", master: str | None = None, **conf) ->
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # call-site capture costs milliseconds per column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         b = b.master(master)
