@@ -145,6 +145,14 @@ def percent(c: Column) -> Column:
     return F.format_string("%.0f%%", F.bround(c * 100))
 
 
+def stable_round(c: Column, digits: int) -> Column:
+    """Rounding for sums of doubles, whose last bit depends on the order of partitions.
+
+    A nudge far below the digit shown sends exact ties to the same side every time.
+    """
+    return F.round(c + F.lit(1e-9), digits)
+
+
 def labelled(value: Column, cuts: list[tuple[float, str]], last: str) -> Column:
     """Right-open buckets with text labels: ``cuts`` are (upper bound, label)."""
     out = None

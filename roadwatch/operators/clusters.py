@@ -122,7 +122,8 @@ def cluster_stats(clustered: DataFrame) -> DataFrame:
     """Size, centroid, rates, impact, labels and risk level per cluster."""
     df = noise_filter(clustered)
     stats = df.groupBy("cluster_id").agg(
-        F.count("*").alias("size"), F.round(F.avg("lat"), 4).alias("centroid_lat"), F.round(F.avg("lon"), 4).alias("centroid_lon"),
+        F.count("*").alias("size"), C.stable_round(F.avg("lat"), 4).alias("centroid_lat"),
+        C.stable_round(F.avg("lon"), 4).alias("centroid_lon"),
         F.round(F.avg("closure"), 4).alias("closure_rate"), F.round(F.avg("impact_score"), 4).alias("mean_impact"),
         F.sum("impact_score").alias("total_impact"), F.round(F.avg("is_high_priority"), 4).alias("high_priority_rate"))
     key = ["cluster_id"]

@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("basic", "corridors", "deployment")
+AREAS = ("basic", "corridors", "deployment", "spatial")
 
 
 def load_all() -> None:
