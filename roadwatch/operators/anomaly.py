@@ -196,3 +196,17 @@ def accuracy_metrics(log: DataFrame) -> DataFrame:
         F.round(F.avg((F.col("predicted_closure") == F.col("actual_closure")).cast("int")), 6).alias("closure_accuracy"),
         F.round(F.avg((F.col("predicted_priority") == F.col("actual_priority")).cast("int")), 6).alias("priority_accuracy"),
         F.round(F.avg(F.abs(F.col("predicted_duration") - F.col("actual_duration"))), 6).alias("duration_mae"))
+
+
+def baseline_counts(df: DataFrame, days: int = S.BASELINE_DAYS, per_day: bool = False) -> DataFrame:
+    """Corridor-hour counts of the baseline period: period totals, or one row per day with ``per_day``.
+
+    Period totals set against one-day counts is the published behaviour; ``per_day``
+    puts both on the same scale.
+    """
+    base = split_baseline(df, days).filter("part = 'baseline'")
+    return daily_counts(base) if per_day else corridor_hour_counts(base)
+
+
+def live_counts(df: DataFrame, days: int = S.BASELINE_DAYS) -> DataFrame:
+    return daily_counts(split_baseline(df, days).filter("part = 'live'"))

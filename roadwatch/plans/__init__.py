@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("basic", "corridors", "deployment", "spatial")
+AREAS = ("basic", "corridors", "deployment", "spatial", "anomaly")
 
 
 def load_all() -> None:

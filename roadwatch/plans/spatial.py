@@ -304,7 +304,7 @@ def write_spatial_feature(spark, sf):
 
 
 # -------------------------------------------------------------------- density
-_DY, _DX = repr(D.DY), repr(D.DX)
+_DY, _DX = f"{D.DY!r}::DOUBLE", f"{D.DX!r}::DOUBLE"
 KDE_SQL = SPATIAL_SQL + f""", w0 AS (SELECT 'full' AS filter_kind, 'all' AS filter_value, count(*) AS n FROM sp
  UNION ALL SELECT 'time_band', b, (SELECT count(*) FROM sp WHERE time_band = b) FROM (VALUES ('early_morning'), ('evening'), ('late_night'), ('off_peak')) v(b)
  UNION ALL (SELECT 'cause', cause, count(*) AS n FROM sp GROUP BY cause ORDER BY n DESC, cause LIMIT 6)),
