@@ -31,21 +31,24 @@ def apply_target_encoding(df: DataFrame, encoding: DataFrame, column: str, prior
     return df.join(lookup, column, "left").withColumn(name, F.coalesce(F.col(name), prior))
 
 
-def out_of_fold_encoding(df: DataFrame, column: str, target: str, name: str, fold: str = "fold") -> DataFrame:
-    """Each row is encoded from the rows of the other folds, all folds in one pass.
+def fold_encodings(df: DataFrame, column: str, target: str, name: str, k: int = S.N_FOLDS, fold: str = "fold") -> DataFrame:
+    """(category, fold, encoding): for each held-out fold, the encoder of all other folds.
 
-    Totals per (category, fold) are subtracted from totals per category, so the
-    encoder is never refitted fold by fold.
+    All folds come from one pass: totals per (category, fold) are subtracted from
+    totals per category, so the encoder is never refitted fold by fold.
     """
     cells = df.groupBy(column, fold).agg(F.count("*").alias("_n"), F.sum(target).alias("_s")).persist()
     by_cat = cells.groupBy(column).agg(F.sum("_n").alias("_cn"), F.sum("_s").alias("_cs"))
     by_fold = cells.groupBy(fold).agg(F.sum("_n").alias("_fn"), F.sum("_s").alias("_fs"))
     total = cells.agg(F.struct(F.sum("_n").alias("n"), F.sum("_s").alias("s"))).scalar()
     prior = (total["s"] - F.col("_fs")) / (total["n"] - F.col("_fn"))
-    n = F.col("_cn") - F.col("_n")
-    mean = (F.col("_cs") - F.col("_s")) / F.nullif(n, F.lit(0))
-    lookup = (
-        cells.join(by_cat, column).join(by_fold, fold)
-        .select(column, fold, F.coalesce(blend(n, mean, prior), prior).alias(name))
-    )
-    return df.join(lookup, [column, fold])
+    n = F.col("_cn") - F.coalesce("_n", F.lit(0))
+    mean = (F.col("_cs") - F.coalesce("_s", F.lit(0))) / F.nullif(n, F.lit(0))
+    grid = by_cat.withColumn(fold, F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    return grid.join(by_fold, fold).join(cells, [column, fold], "left").select(
+        column, fold, F.coalesce(blend(n, mean, prior), prior).alias(name))
+
+
+def out_of_fold_encoding(df: DataFrame, column: str, target: str, name: str, k: int = S.N_FOLDS, fold: str = "fold") -> DataFrame:
+    """Each row encoded from the rows of the other folds."""
+    return df.join(fold_encodings(df, column, target, name, k, fold), [column, fold])

@@ -54,27 +54,27 @@ def kfolds(df: DataFrame, key: str = "id", k: int = 5, seed: int = 42) -> DataFr
     return df.withColumn("fold", (portable_hash(key, seed) % k).cast("int"))
 
 
-def running_totals(df: DataFrame, key: str, sums: dict[str, Column], buckets: int = 4096,
+def running_totals(df: DataFrame, key: str, sums: dict[str, Column], by: Sequence[str] = (), buckets: int = 4096,
                    descending: bool = True) -> DataFrame:
     """Per distinct ``key`` (0 ≤ key ≤ 1): its totals and the totals up to and including it.
 
     Rows are first reduced to one per distinct key, so ties never form a hot group.
-    Output columns: key, ``name`` and ``cum_name`` for each entry of ``sums``.
+    Output columns: by, key, ``name`` and ``cum_name`` for each entry of ``sums``.
     """
-    per_key = df.groupBy(key).agg(*[c.alias(n) for n, c in sums.items()])
+    by = list(by)
+    per_key = df.groupBy(*by, key).agg(*[c.alias(n) for n, c in sums.items()])
     sign = -1 if descending else 1
     per_key = per_key.withColumn("_bucket", sign * F.floor(F.col(key) * buckets).cast("long"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_key.groupBy("_bucket").agg(*[F.sum(n).alias(n) for n in sums])
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = per_key.groupBy(*by, "_bucket").agg(*[F.sum(n).alias(n) for n in sums])
     offsets = per_bucket.select(
-        "_bucket", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_off_{n}") for n in sums]
-    )
+        *by, "_bucket", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_off_{n}") for n in sums])
     order = F.col(key).desc() if descending else F.col(key).asc()
-    inside = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         per_key.withColumns({f"_in_{n}": F.sum(n).over(inside) for n in sums})
-        .join(offsets, "_bucket")
-        .select(key, *sums, *[(F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(f"cum_{n}") for n in sums])
+        .join(offsets, [*by, "_bucket"])
+        .select(*by, key, *sums, *[(F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(f"cum_{n}") for n in sums])
     )
 
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("basic", "corridors", "deployment", "spatial", "anomaly")
+AREAS = ("basic", "corridors", "deployment", "spatial", "anomaly", "learning")
 
 
 def load_all() -> None:

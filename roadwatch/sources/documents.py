@@ -44,3 +44,26 @@ def read_corridor_risk(spark: SparkSession, path: str) -> DataFrame:
                 "risk_score": 0.5, "risk_tier": "MEDIUM", "dominant_cause": "unknown"}
     return c.select(C.tidy("corridor").alias("corridor"),
                     *[F.coalesce(F.col(k), F.lit(v)).alias(k) for k, v in defaults.items()])
+
+
+def attach_scores(df: DataFrame, scores: DataFrame, missing: float = 5.0) -> DataFrame:
+    """Left join of impact scores on id; rows without a score weigh as ``missing``."""
+    joined = df.join(scores, "id", "left")
+    return joined.withColumn("impact_weight", F.coalesce(F.col("composite_impact_score").cast("double"), F.lit(missing)) / 10)
+
+
+def fallback_document(ft: DataFrame, closure_threshold: float, min_examples: int = S.FALLBACK_MIN_EXAMPLES) -> DataFrame:
+    """One row: medians and counts per cause (a category table), fallback causes and global figures."""
+    from roadwatch.operators import stats
+
+    medians = stats.cause_medians(ft, min_examples).persist()
+    overall = stats.duration_quantiles(ft, {"m": 0.5}).scalar()
+    p95 = stats.log_duration_p95(ft).scalar()
+    return medians.agg(
+        F.map_from_entries(F.collect_list(F.struct("cause_cat", "median_h"))).alias("cause_medians"),
+        F.map_from_entries(F.collect_list(F.struct("cause_cat", "n_examples"))).alias("n_examples"),
+        F.sort_array(F.collect_list(F.when(F.col("is_fallback"), F.col("cause_cat")))).alias("fallback_causes"),
+    ).select(
+        overall.alias("global_median_h"), "cause_medians", "n_examples", "fallback_causes",
+        F.lit(min_examples).alias("fallback_min_examples"), p95.alias("duration_log_p95"),
+        F.lit(closure_threshold).alias("closure_threshold"))
