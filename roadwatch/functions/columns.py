@@ -142,7 +142,7 @@ def portable_hash(key, seed: int) -> Column:
 
 def percent(c: Column) -> Column:
     """Whole percent as text, half-even."""
-    return F.format_string("%.0f%%", F.bround(c * 100))
+    return F.concat(F.bround(c * 100).cast("int").cast("string"), F.lit("%"))
 
 
 def stable_round(c: Column, digits: int) -> Column:

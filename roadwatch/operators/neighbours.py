@@ -284,7 +284,7 @@ def open_edges(edges: DataFrame, blocked: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------- nearest
-def nearest_distance(points: DataFrame, targets: DataFrame, finest_m: float = 1.0, limit: int = 256) -> DataFrame:
+def nearest_distance(points: DataFrame, targets: DataFrame, finest_m: float = 0.1, limit: int = 256) -> DataFrame:
     """Distance from each point to its nearest target, exact, as (world, lat, lon, distance_m).
 
     Every point first finds the finest level at which an occupied cell touches its own

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from roadwatch.functions.columns import portable_hash
 
-HASH_BUCKETS = 4096
+HASH_BUCKETS = 2**16
 
 
 def global_row_number(df: DataFrame, bucket: Column, order: Sequence, partition: Sequence[str] = (),

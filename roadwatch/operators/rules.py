@@ -195,12 +195,13 @@ def geometric_detour(df: DataFrame, lat="plan_lat", lon="plan_lon", end_lat="end
 
     Built in projections that each use the previous one, so no sine is worked out twice.
     """
-    a, o = F.coalesce(lat, F.lit(0.0)), F.coalesce(lon, F.lit(0.0))
-    c, d = F.coalesce(end_lat, F.lit(0.0)), F.coalesce(end_lon, F.lit(0.0))
-    out = df.withColumns({"_a": a, "_o": o, "_c": c, "_d": d})
+    known = F.lit(True)
+    for name in (lat, lon, end_lat, end_lon):
+        known = known & (F.coalesce(name, F.lit(0.0)) != 0)
+    out = df.withColumn("_known", known)   # unknown places stay null, and null geometry costs nothing
+    out = out.withColumns({t: F.when(F.col("_known"), F.col(n)) for t, n in zip(("_a", "_o", "_c", "_d"), (lat, lon, end_lat, end_lon))})
     a, o, c, d = (F.col(n) for n in ("_a", "_o", "_c", "_d"))
-    out = out.withColumns({"_axis": geo.bearing_deg(a, o, c, d), "_m": (a + c) / 2, "_n": (o + d) / 2,
-                           "_known": (a != 0) & (o != 0) & (c != 0) & (d != 0)})
+    out = out.withColumns({"_axis": geo.bearing_deg(a, o, c, d), "_m": (a + c) / 2, "_n": (o + d) / 2})
     axis = F.col("_axis")
     out = out.withColumn("_side", F.when(axis + 90 >= 360, axis - 270).otherwise(axis + 90))
     stops = [(a, o, axis + 180, S.DETOUR_END_M), (a, o, F.col("_side"), S.DETOUR_SIDE_M),
@@ -235,34 +236,44 @@ def attach_diversion(df: DataFrame, detour: Callable[[DataFrame], DataFrame] | N
     if detour is None:
         return df.withColumn("diversion_route", F.lit(None).cast("struct<status:string>"))
     wanted = F.col("diversion_triggered") & (F.coalesce("endlatitude", F.lit(0.0)) > 0) & (F.coalesce("endlongitude", F.lit(0.0)) > 0)
-    return detour(df).withColumn("diversion_route", F.when(wanted, F.col("diversion_route")))
+    ends = {c: F.when(wanted, F.col(c)) for c in ("endlatitude", "endlongitude")}
+    return detour(df.withColumns(ends)).withColumn("diversion_route", F.when(wanted, F.col("diversion_route")))
 
 
 def explanation_trail(df: DataFrame) -> DataFrame:
     """Ordered reasons for the numbers; stages that did not apply are left out."""
-    fmt = F.format_string
+    def say(*parts) -> Column:
+        """Join literals and columns (given in a list) to one text."""
+        return F.concat(*[F.col(p[0]).cast("string") if isinstance(p, list) else F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    def times(step, clamp) -> Column:
+        """The multiplier text of each of the ten scores, looked up instead of formatted per row."""
+        texts = [f"{max(clamp[0], min(1.0 + step * (score - 5), clamp[1])):.2f}x" for score in range(1, 11)]
+        return F.element_at(F.array(*[F.lit(t) for t in texts]), F.col("impact_score"))
+
+    clock = F.lpad(F.col("plan_hour").cast("string"), 2, "0")
+    hours = F.round("expected_duration_h", 1).cast("decimal(12,1)").cast("string")
     base = F.concat(
-        fmt("Base template: %s -> %d officers, %d barricades", "template_cause", "base_officers", "base_barricades"),
-        F.when(F.col("recovery_van") > 0, fmt(", %d recovery van", "recovery_van")).otherwise(""),
+        say("Base template: ", ["template_cause"], " -> ", ["base_officers"], " officers, ", ["base_barricades"], " barricades"),
+        F.when(F.col("recovery_van") > 0, say(", ", ["recovery_van"], " recovery van")).otherwise(""),
         F.when(F.size("escalate_to") > 0, F.concat(F.lit(", escalate to "), F.array_join("escalate_to", ", "))).otherwise(""))
-    impact = fmt("Impact score %d/10 -> officer multiplier %.2fx, barricade multiplier %.2fx",
-                 "impact_score", "officer_mult", "barricade_mult")
-    corridor = F.when(F.col("tier_officers") > 0, fmt(
-        "%s-risk corridor (%s) -> +%s officers, +%s barricades", "corridor_risk_tier", "plan_corridor",
-        C.percent(F.col("tier_officers")), C.percent(F.col("tier_barricades")))).otherwise(
-        fmt("Corridor risk: %s (%s) -> no adjustment", "corridor_risk_tier", "plan_corridor"))
-    time = F.when(F.col("hour_band").isNotNull(), fmt(
-        "%s hour (%02d:00) -> +%s officers", "hour_band", "plan_hour", C.percent(F.col("hour_boost")))).otherwise(
-        fmt("Off-peak hour (%02d:00) -> no time adjustment", "plan_hour"))
+    impact = say("Impact score ", ["impact_score"], "/10 -> officer multiplier ", times(S.OFFICER_STEP, S.OFFICER_CLAMP),
+                 ", barricade multiplier ", times(S.BARRICADE_STEP, S.BARRICADE_CLAMP))
+    corridor = F.when(F.col("tier_officers") > 0, say(
+        ["corridor_risk_tier"], "-risk corridor (", ["plan_corridor"], ") -> +", C.percent(F.col("tier_officers")),
+        " officers, +", C.percent(F.col("tier_barricades")), " barricades")).otherwise(
+        say("Corridor risk: ", ["corridor_risk_tier"], " (", ["plan_corridor"], ") -> no adjustment"))
+    time = F.when(F.col("hour_band").isNotNull(), say(
+        ["hour_band"], " hour (", clock, ":00) -> +", C.percent(F.col("hour_boost")), " officers")).otherwise(
+        say("Off-peak hour (", clock, ":00) -> no time adjustment"))
     chance = C.percent(F.col("closure_probability"))
-    closure = F.when(F.col("diversion_triggered"), fmt(
-        "Road closure probable (%s) -> +2 officers (diversion management), +4 barricades (closure points), "
-        "diversion route triggered", chance)).otherwise(
-        fmt("Road closure unlikely (%s) -> no closure adjustment", chance))
+    closure = F.when(F.col("diversion_triggered"), say(
+        "Road closure probable (", chance, ") -> +2 officers (diversion management), +4 barricades (closure points), "
+        "diversion route triggered")).otherwise(say("Road closure unlikely (", chance, ") -> no closure adjustment"))
     relief = (
-        F.when(F.col("relief") == 2, fmt("Long-duration event (%.1fh) -> +2 officers for shift relief", "expected_duration_h"))
-        .when(F.col("relief") == 1, fmt("Medium-duration event (%.1fh) -> +1 officer for shift overlap", "expected_duration_h")))
-    final = fmt("Final recommendation: %d officers, %d barricades", "recommended_officers", "recommended_barricades")
+        F.when(F.col("relief") == 2, say("Long-duration event (", hours, "h) -> +2 officers for shift relief"))
+        .when(F.col("relief") == 1, say("Medium-duration event (", hours, "h) -> +1 officer for shift overlap")))
+    final = say("Final recommendation: ", ["recommended_officers"], " officers, ", ["recommended_barricades"], " barricades")
     reasons = [base, impact, corridor, time, closure, relief, final]
     if "diversion_route" in df.columns and "detour_distance_km" in df.schema["diversion_route"].dataType.fieldNames():
         route = F.col("diversion_route")

@@ -56,9 +56,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors, keeps iterative plans short."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Reliable cut for iterative plans: the step is written to the shared folder and read back.
+
+    Unlike a checkpoint of an unpersisted table it is computed once, and the
+    next step is planned with the true size. It survives lost executors.
+    """
+    return stored(df, "step")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

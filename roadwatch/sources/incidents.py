@@ -71,7 +71,18 @@ def incidents_from_feed(events: DataFrame) -> DataFrame:
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(FEED_SCHEMA).parquet(path)
+    return spread(spark.read.schema(FEED_SCHEMA).parquet(path), "event_id")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Put a table of very few partitions on all cores.
+
+    A file with one row group is read by one task. Only then, when the scan would use less
+    than a quarter of the cores, the rows are spread by key; a table of many files
+    is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 4 <= cores else df
 
 
 def scan_incidents(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
