@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from roadwatch import settings as S
 from roadwatch.functions import columns as C
@@ -34,11 +34,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     stars = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
     stars, before = cut_lineage(stars), None
     while True:
-        now = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        seen = Observation()   # size and digest are taken while the round is written
+        stars = cut_lineage(_small_star(_large_star(stars)).observe(
+            seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("digest")))
+        now = seen.get
         if now == before:
             break
         before = now
-        stars = cut_lineage(_small_star(_large_star(stars)))
     return nodes.join(stars, nodes.node == stars.a, "left").select("node", F.coalesce("b", "node").alias("root"))
 
 

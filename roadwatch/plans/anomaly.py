@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from roadwatch.operators import anomaly as A
 from roadwatch.plans.registry import artefact, feed, incidents, on_incidents, query
@@ -84,9 +84,22 @@ def isolation_forest_fit(spark, sf):
     return leaves(spark, sf).select("tree", "lo", "hi", F.round("path_len", 6).alias("path_len"), "sample_size")
 
 
-@query("leaf_range_join")
+_LEAVES = (", lf AS (SELECT hour AS tree, CAST(lag(event_count) OVER w AS DOUBLE) AS lo, CAST(CASE WHEN lead(event_count) OVER w IS NULL THEN 'infinity' ELSE event_count::VARCHAR END AS DOUBLE) AS hi, "
+           "row_number() OVER w AS path_len FROM (SELECT DISTINCT hour, event_count FROM based) WINDOW w AS (PARTITION BY hour ORDER BY event_count))")
+
+
+@query("leaf_range_join", on_parts("").rstrip() + _LEAVES + " SELECT v.event_count, round(sum(path_len) / (SELECT count(DISTINCT tree) FROM lf)::DOUBLE, 6) AS mean_path "
+       "FROM (SELECT DISTINCT event_count FROM live) v JOIN lf ON (lo IS NULL OR lo < v.event_count) AND v.event_count <= hi GROUP BY 1")
 def leaf_range_join(spark, sf):
-    return A.isolation_scores(counts(spark, sf)[1], leaves(spark, sf))
+    """Interval lookup on leaves anyone can write down: per hour, the steps between baseline counts."""
+    base = A.baseline_counts(incidents(spark, sf), DAYS, per_day=True).select(F.col("hour").alias("tree"), "event_count").distinct()
+    w = Window.partitionBy("tree").orderBy("event_count")
+    steps = base.select(
+        "tree", F.coalesce(F.lag("event_count").over(w).cast("double"), F.lit(float("-inf"))).alias("lo"),
+        F.when(F.lead("event_count").over(w).isNull(), float("inf")).otherwise(F.col("event_count").cast("double")).alias("hi"),
+        F.row_number().over(w).cast("double").alias("path_len"), F.lit(256).alias("sample_size"))
+    out = A.leaf_range_join(counts(spark, sf)[1], steps.persist())
+    return out.select("event_count", F.round("mean_path", 6).alias("mean_path"))
 
 
 @query("isolation_forest_score")

@@ -350,11 +350,11 @@ def apply_encoding(spark, sf):
 
 
 # ------------------------------------------------------------ scalar families
-@query("log_math", on_features(
+@query("math_functions", on_features(
     "SELECT id, round(ln(1 + duration_h), 6) AS log1p_h, round(exp(ln(1 + duration_h)) - 1, 4) AS back_h, "
     "CAST(ceil(duration_h) AS BIGINT) AS ceil_h, round_even(duration_h * 2, 0) / 2 AS half_even, "
     "least(greatest(duration_h, 1), 10) AS clipped, round(radians(lat), 9) AS lat_rad FROM ft WHERE duration_h BETWEEN 0 AND 720"))
-def log_math(spark, sf):
+def math_functions(spark, sf):
     d = F.col("duration_h")
     return cleaning.usable_durations(features(spark, sf)).select(
         "id", F.round(F.log1p(d), 6).alias("log1p_h"), F.round(F.expm1(F.log1p(d)), 4).alias("back_h"),

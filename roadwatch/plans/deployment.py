@@ -456,8 +456,8 @@ def anchor_summary(spark, sf):
     return A.anchor_summary(incidents(spark, sf))
 
 
-@query("officer_top_causes", on_incidents(f"SELECT event_cause, count(*) AS n {OFFICERS} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8"))
-def officer_top_causes(spark, sf):
+@query("officer_causes", on_incidents(f"SELECT event_cause, count(*) AS n {OFFICERS} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8"))
+def officer_causes(spark, sf):
     cases_ = incidents(spark, sf).filter(F.col("assigned_to_police_id").isNotNull())
     return cases_.groupBy("event_cause").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_cause").limit(8)
 

@@ -347,7 +347,14 @@ def predict_impact(spark, sf):
     return artefact(spark, sf, "impact-scores", lambda: predictions(spark, sf))
 
 
-@query("save_models")
+@query("load_models")
+def load_models(spark, sf):
+    """Scores of a priority model read back from its folder."""
+    return priority_fit(spark, sf).score(features(spark, sf), "priority_p").groupBy("corridor_cat").agg(
+        F.count("*").alias("n"), F.round(F.avg("priority_p"), 6).alias("mean_p"))
+
+
+@query("save_models", "SELECT count(*) AS n, count(*) AS same FROM events")
 def save_models(spark, sf):
     """Save, load, and compare the scores of both on the whole table."""
     fitted = closure_fit(spark, sf)

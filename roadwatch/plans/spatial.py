@@ -395,6 +395,6 @@ def write_density_grid(spark, sf):
 @query("density_at_points", GRID_SQL + POINTS_SQL + """, fk AS (SELECT * FROM kr WHERE filter_kind = 'full'),
 ps AS (SELECT point_id, sum(e.w / (2 * pi() * sqrt(det) * sw) * exp(-h)) AS d FROM (SELECT pt.point_id, e.w, det, sw, 0.5 * ((pt.lat - e.lat) ** 2 * b / det + (pt.lon - e.lon) ** 2 * a / det
  - 2 * (pt.lat - e.lat) * (pt.lon - e.lon) * c / det) AS h FROM pt, fk, (SELECT * FROM each WHERE filter_kind = 'full') e WHERE abs(pt.lat - e.lat) <= ry AND abs(pt.lon - e.lon) <= rx) e WHERE h <= 32 GROUP BY 1)
-SELECT pt.point_id, pt.lat, pt.lon, round(coalesce(least(d / (SELECT max(density) FROM gr WHERE filter_kind = 'full'), 1), 0), 4) AS density_score FROM pt LEFT JOIN ps USING (point_id)""")
+SELECT pt.point_id, pt.lat, pt.lon, round(least(coalesce(d, 0) / (SELECT max(density) FROM gr WHERE filter_kind = 'full'), 1), 4) AS density_score FROM pt LEFT JOIN ps USING (point_id)""")
 def density_at_points(spark, sf):
     return D.density_at_points(query_points(spark, sf), spatial(spark, sf), D.peak_density(grid(spark, sf)))
