@@ -68,8 +68,13 @@ def main():
 
     args = sys.argv[1:]
     sf = args.pop(0) if args and args[0].startswith("/") else "/root/testdata/sf0.01"
-    spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="16g",
-                          spark__sql__adaptive__coalescePartitions__parallelismFirst="false")
+    if os.environ.get("PLAIN"):   # a session with nothing but the basics set
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
+                 .config("spark.driver.memory", "16g").config("spark.sql.session.timeZone", "UTC")
+                 .config("spark.checkpoint.dir", os.environ["PLAIN"]).getOrCreate())
+    else:
+        spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="16g")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     qs, sqls = E.queries(), E.oracle_sql()
