@@ -310,7 +310,11 @@ def nearest_distance(points: DataFrame, targets: DataFrame, finest_m: float = 0.
         df = df.withColumn("o", _offsets(r, r))
         return df.withColumns({"y": F.col("y") + F.col("o.dy"), "x": F.col("x") + F.col("o.dx")}).drop("o")
 
-    found = around(at_level(q), 1).join(cells, ["level", "y", "x"]).groupBy(*KEYS, "by", "bx").agg(F.min("level").alias("level"))
+    # occupied surroundings are looked up once per cell and level, not once per point
+    probes = at_level(q).select("level", "y", "x").distinct().withColumns({"py": F.col("y"), "px": F.col("x")})
+    touched = around(probes, 1).join(cells, ["level", "y", "x"]).select(
+        "level", F.col("py").alias("y"), F.col("px").alias("x")).distinct()
+    found = at_level(q).join(touched, ["level", "y", "x"]).groupBy(*KEYS, "by", "bx").agg(F.min("level").alias("level"))
     start = found.withColumns({"y": F.expr("shiftright(by, level)"), "x": F.expr("shiftright(bx, level)")})
     cand = _pruned(around(start, 3).join(cells, ["level", "y", "x"]), grid)
     while True:

@@ -27,6 +27,7 @@ def query(name: str, sql: str | None = None):
 
 
 def feed(spark: SparkSession, sf: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")   # every hour of the data model is a UTC hour
     return src.read_feed(spark, os.path.join(sf, "events.parquet"))
 
 
