@@ -9,14 +9,26 @@ from pyspark.sql import Column, functions as F
 from roadwatch import settings as S
 
 
-def haversine_m(lat1, lon1, lat2, lon2) -> Column:
-    """Great-circle distance in metres."""
+def half_chord(lat1, lon1, lat2, lon2) -> Column:
+    """Squared half chord of the unit sphere between two points; grows with their distance."""
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
     half_lon = F.sin(F.radians(lon2 - lon1) / 2)
-    a = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
+    return half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
+
+
+def haversine_m(lat1, lon1, lat2, lon2) -> Column:
+    """Great-circle distance in metres."""
+    a = half_chord(lat1, lon1, lat2, lon2)
     return 2 * S.EARTH_RADIUS_M * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
+def within_m(lat1, lon1, lat2, lon2, radius: float, strict: bool = False) -> Column:
+    """Is the distance within the radius? Compares chords, which spares a root and an arc tangent per pair."""
+    limit = math.sin(radius / (2 * S.EARTH_RADIUS_M)) ** 2
+    a = half_chord(lat1, lon1, lat2, lon2)
+    return a < limit if strict else a <= limit
+
+
 def bearing_deg(lat1, lon1, lat2, lon2) -> Column:
     """Initial bearing from the first to the second point, 0 ≤ b < 360."""
     p1, p2, dl = F.radians(lat1), F.radians(lat2), F.radians(lon2 - lon1)

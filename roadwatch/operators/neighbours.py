@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from roadwatch import settings as S
-from roadwatch.functions.geo import haversine_m
+from roadwatch.functions.geo import haversine_m, within_m
 from roadwatch.session import cut_lineage
 
 BITS = 20                # a cell can be halved this many times
@@ -148,8 +148,7 @@ def radius_totals(points: DataFrame, targets: DataFrame, radius: float, payload:
     combine = [how[h](c).alias(c) for c, h in payload.items()]
 
     def near(a, b):
-        d = haversine_m(a["lat"], a["lon"], b["lat"], b["lon"])
-        return d < radius if strict else d <= radius
+        return within_m(a["lat"], a["lon"], b["lat"], b["lon"], radius, strict)
 
     q_cells, t_cells = _cells(q, 0, "q"), _cells(t, 0, "t", combine)
     deep = _hottest(q_cells, "qn") * _hottest(t_cells, "tn") > limit
@@ -206,7 +205,7 @@ def linked_cells(points: DataFrame, grid: Grid, limit: int = PAIR_LIMIT) -> Data
         a = p.select(*KEYS, *cell(level, "q")).join(rim, ["qy", "qx"]).alias("a")
         b = p.select(*KEYS, *cell(level, "t")).alias("b")
         met = a.join(b, (F.col("a.ty") == F.col("b.ty")) & (F.col("a.tx") == F.col("b.tx")))
-        met = met.filter(haversine_m(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")) <= radius)
+        met = met.filter(within_m(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"), radius))
         found.append(roots(met.select("qy", "qx", "a.ty", "a.tx"), level))
         if not deep:
             break
@@ -284,7 +283,7 @@ def open_edges(edges: DataFrame, blocked: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------- nearest
-def nearest_distance(points: DataFrame, targets: DataFrame, finest_m: float = 0.1, limit: int = 256) -> DataFrame:
+def nearest_distance(points: DataFrame, targets: DataFrame, finest_m: float = 0.1, limit: int = 4096) -> DataFrame:
     """Distance from each point to its nearest target, exact, as (world, lat, lon, distance_m).
 
     Every point first finds the finest level at which an occupied cell touches its own
