@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from roadwatch import settings as S
 from roadwatch.functions import columns as C
 from roadwatch.operators import cleaning
 from roadwatch.plans.registry import (
-    features, feed, incidents, on_features, on_incidents, on_spatial, query, spatial,
+    features, incidents, on_features, on_incidents, on_spatial, query, spatial,
 )
 from roadwatch.sources.incidents import missing_columns, scan_incidents, conform
 

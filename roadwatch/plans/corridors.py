@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from roadwatch import settings as S
 from roadwatch.functions import columns as C
 from roadwatch.operators import corridor as K
-from roadwatch.plans.registry import SPATIAL_SQL, incidents, on_incidents, on_spatial, query, spatial
+from roadwatch.plans.registry import SPATIAL_SQL, incidents, on_spatial, query, spatial
 
 STATS_SQL = SPATIAL_SQL + """, tot AS (SELECT corridor, count(*) AS event_count, avg(closure) AS closure_rate,
  avg(is_high_priority) AS high_priority_rate, avg(impact_score) AS mean_impact, CAST(sum(impact_score) AS BIGINT) AS total_impact FROM sp GROUP BY 1),

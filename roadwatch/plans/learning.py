@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roadwatch import settings as S
-from roadwatch.operators import anchors, cleaning, encoding as enc, evaluation as V, learning as L, ranking, rules, stats
+from roadwatch.operators import anchors, encoding as enc, evaluation as V, learning as L, ranking, stats
 from roadwatch.plans import corridors, deployment as dep, spatial as geo
 from roadwatch.plans.registry import FEATURES_SQL, artefact, features, hash_sql, incidents, on_features, query, spatial
 from roadwatch.session import new_folder, stored

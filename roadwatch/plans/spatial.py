@@ -11,7 +11,7 @@ from roadwatch import settings as S
 from roadwatch.functions.columns import stable_round
 from roadwatch.operators import clusters as K, density as D, neighbours as N
 from roadwatch.plans.deployment import hav_sql
-from roadwatch.plans.registry import SPATIAL_SQL, artefact, feed, on_spatial, query, spatial
+from roadwatch.plans.registry import SPATIAL_SQL, artefact, on_spatial, query, spatial
 from roadwatch.session import new_folder
 from roadwatch.sources import hotspots as H
 
