@@ -6,15 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadwatch.llm import simhash
+from roadwatch.llm import bpe, packing, quality, simhash, urls
 from roadwatch.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+TOKENIZER = "word_bpe_49k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
+URL_RULES = [urls.Rule("allow", "org/"), urls.Rule("block", "example.org/es/"), urls.Rule("block", "example.org/en/1"),
+             urls.Rule("allow", "com/fr/"), urls.Rule("block", "com/de/")]
+
+
 def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf, "documents"))
 
 
-QUERIES["op1_simhash"] = op1_simhash
+def op2_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return urls.judge(read(spark, sf, "pages"), URL_RULES)
+
+
+def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.judge(read(spark, sf, "documents"))
+
+
+def op5_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(read(spark, sf, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(read(spark, sf, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+for _query in (op1_simhash, op2_url_filter, op4_quality_rules, op5_byte_bpe, op6_packing):
+    QUERIES[_query.__name__] = _query
+ORACLES["op4_quality_rules"] = quality.oracle()
