@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,3 +56,23 @@ def map_texts(df: DataFrame, fn: Callable[[dict], dict], schema: T.StructType, c
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, rk, tk): 128 bits that name a row by id and text, so that joins need neither row numbers nor ids
+    without nulls. Rows equal in both are one document to operators that join on them."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return texts(docs).select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("rk"), F.xxhash64(text).alias("tk"))
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once: an expression inside a lambda would be computed for every element."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))

@@ -1,4 +1,4 @@
-"""Quality rules: base limits and the share of characters inside duplicated n-grams and lines.
+"""Quality rules: base limits, symbols per word, and the share of characters inside duplicated n-grams and lines.
 
 Words are runs of anything but ASCII white space. Polynomial rolling hashes over word values give all n-grams of several
 lengths for a whole batch of texts at once. A duplicated n-gram equals an earlier one of its text; the
@@ -21,9 +21,11 @@ MIN_WORDS = 50
 #: per cent of words in repeated 3-word windows above which the base fails
 MAX_REPEAT = 50
 #: n-gram length -> per cent of word characters that may lie in duplicated n-grams
-MAX_DUPLICATED = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
+MAX_DUPLICATED = {5: 30, 6: 29, 7: 28, 8: 27, 9: 26, 10: 25}
 #: per cent of a text's characters that may lie in lines equal to an earlier one
-MAX_LINE_CHARS = 20
+MAX_LINE_CHARS = 30
+#: symbols per hundred words
+MAX_SYMBOLS = 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -107,6 +109,7 @@ def verdicts(m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(base_failed, kept) in whole numbers, so that no rounding decides."""
     failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT * m["n_words"])
     repeated = 100 * m["dup_line_chars"] > MAX_LINE_CHARS * m["text_chars"]
+    repeated |= 100 * m["n_symbols"] > MAX_SYMBOLS * m["n_words"]
     for n, limit in MAX_DUPLICATED.items():
         repeated |= 100 * m[f"dup_chars_{n}"] > limit * m["word_chars"]
     return failed, ~failed & ~repeated
@@ -154,4 +157,5 @@ counts AS (
     CAST(coalesce(dup_line_chars, 0) AS BIGINT) AS dup_line_chars, {outs}
   FROM base JOIN words USING (k) LEFT JOIN grams USING (k) LEFT JOIN dups USING (k)),
 judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed FROM counts)
-SELECT * EXCLUDE (text_chars), NOT base_failed AND 100 * dup_line_chars <= {MAX_LINE_CHARS} * text_chars AND {limits} AS kept FROM judged"""
+SELECT * EXCLUDE (text_chars), NOT base_failed AND 100 * dup_line_chars <= {MAX_LINE_CHARS} * text_chars
+  AND 100 * n_symbols <= {MAX_SYMBOLS} * n_words AND {limits} AS kept FROM judged"""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from roadwatch.llm import bpe, packing, quality, simhash, urls
+from roadwatch.llm import bpe, classifier, licenses, lines, packing, quality, simhash, urls
 from roadwatch.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +28,10 @@ def op2_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge(read(spark, sf, "pages"), URL_RULES)
 
 
+def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.dedup(read(spark, sf, "documents")).withColumn("kept_sha256", F.sha2("text", 256)).drop("text")
+
+
 def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(read(spark, sf, "documents"))
 
@@ -43,6 +48,16 @@ def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(read(spark, sf, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-for _query in (op1_simhash, op2_url_filter, op4_quality_rules, op5_byte_bpe, op6_packing):
+def op7_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return classifier.score(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
+def op8_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(read(spark, sf, "documents")).drop("spans")
+
+
+for _query in (op1_simhash, op2_url_filter, op3_line_dedup, op4_quality_rules, op5_byte_bpe, op6_packing,
+               op7_quality_classifier, op8_license_scan):
     QUERIES[_query.__name__] = _query
+ORACLES["op3_line_dedup"] = lines.oracle()
 ORACLES["op4_quality_rules"] = quality.oracle()
