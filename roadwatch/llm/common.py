@@ -29,15 +29,15 @@ def id_field(docs: DataFrame) -> T.StructField:
     return T.StructField("doc_id", docs.schema["doc_id"].dataType)
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut record batches where their texts reach BATCH_BYTES (a longer text is a batch of its own)."""
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut record batches where their texts reach ``limit`` bytes (a longer text is a batch of its own)."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
-            if held and held + n > BATCH_BYTES:
+            if held and held + n > limit:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n

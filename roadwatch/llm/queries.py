@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadwatch.llm import bpe, classifier, licenses, lines, packing, quality, simhash, urls
+from roadwatch.llm import bpe, classifier, editing, licenses, lines, packing, quality, repeats, simhash, urls
 from roadwatch.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,8 +56,16 @@ def op8_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(read(spark, sf, "documents")).drop("spans")
 
 
+def op9_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return editing.classified(read(spark, sf, "documents"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.dedup(read(spark, sf, "documents"))
+
+
 for _query in (op1_simhash, op2_url_filter, op3_line_dedup, op4_quality_rules, op5_byte_bpe, op6_packing,
-               op7_quality_classifier, op8_license_scan):
+               op7_quality_classifier, op8_license_scan, op9_fingerprints, op10_suffix_dedup):
     QUERIES[_query.__name__] = _query
 ORACLES["op3_line_dedup"] = lines.oracle()
 ORACLES["op4_quality_rules"] = quality.oracle()
