@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from roadwatch import settings as S
 from roadwatch.functions.columns import portable_hash
 from roadwatch.operators.ranking import as_of, count_bucket
+from roadwatch.operators.lookup import look_up
 
 
 # ------------------------------------------------------------------ baselines
@@ -164,7 +165,7 @@ def forest_detect(counts: DataFrame, leaves: DataFrame, offset: Column) -> DataF
     counts = counts.withColumn("event_count", F.coalesce("event_count", F.lit(0)))
     decision = F.col("score") - offset
     return (
-        counts.join(isolation_scores(counts, leaves), "event_count", "left")
+        look_up(counts, isolation_scores(counts, leaves), ["event_count"])
         .withColumn("is_anomaly", decision < 0)
         .withColumn("confidence", F.round(F.least(F.greatest(0.5 - decision, F.lit(0.0)), F.lit(1.0)), 4))
         .drop("score")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from roadwatch import settings as S
+from roadwatch.operators.lookup import look_up
 
 
 def blend(n: Column, mean: Column, prior: Column) -> Column:
@@ -28,7 +29,7 @@ def fit_target_encoding(df: DataFrame, column: str, target: str, prior: Column |
 def apply_target_encoding(df: DataFrame, encoding: DataFrame, column: str, prior: Column, name: str) -> DataFrame:
     """Unseen categories get the prior."""
     lookup = encoding.select(column, F.col("encoding").alias(name))
-    return df.join(lookup, column, "left").withColumn(name, F.coalesce(F.col(name), prior))
+    return look_up(df, lookup, [column]).withColumn(name, F.coalesce(F.col(name), prior))
 
 
 def fold_encodings(df: DataFrame, column: str, target: str, name: str, k: int = S.N_FOLDS, fold: str = "fold") -> DataFrame:
@@ -51,4 +52,4 @@ def fold_encodings(df: DataFrame, column: str, target: str, name: str, k: int =
 
 def out_of_fold_encoding(df: DataFrame, column: str, target: str, name: str, k: int = S.N_FOLDS, fold: str = "fold") -> DataFrame:
     """Each row encoded from the rows of the other folds."""
-    return df.join(fold_encodings(df, column, target, name, k, fold), [column, fold])
+    return look_up(df, fold_encodings(df, column, target, name, k, fold), [column, fold], "inner")

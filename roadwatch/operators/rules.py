@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from roadwatch import settings as S
 from roadwatch.functions import columns as C, geo
+from roadwatch.operators.lookup import look_up
 
 TEMPLATE_SCHEMA = (
     "template_cause string, base_officers int, recovery_van int, base_barricades int, "
@@ -35,13 +36,13 @@ def cause_priors(spark: SparkSession) -> DataFrame:
 def attach_corridor_risk(df: DataFrame, risk: DataFrame) -> DataFrame:
     """Left join on the tidy corridor name; a miss is MEDIUM with score 0.5.
 
-    The risk table is an aggregate of unknown size, so the strategy is left to
-    the optimizer, which broadcasts it only below its size threshold.
+    The risk table is an aggregate of unknown size: it is counted, and the feed
+    is not shuffled on the corridor while the count allows a broadcast.
     """
     lookup = risk.select(F.col("corridor").alias("_corridor"),
                          F.upper("risk_tier").alias("_tier"), F.col("risk_score").alias("_score"))
     return (
-        df.join(lookup, C.tidy("corridor") == F.col("_corridor"), "left")
+        look_up(df.withColumn("_corridor", C.tidy("corridor")), lookup, ["_corridor"])
         .withColumns({"corridor_risk_tier": F.coalesce("_tier", F.lit("MEDIUM")),
                       "corridor_risk_score": F.coalesce("_score", F.lit(0.5))})
         .drop("_corridor", "_tier", "_score")
@@ -252,7 +253,7 @@ def explanation_trail(df: DataFrame) -> DataFrame:
         return F.element_at(F.array(*[F.lit(t) for t in texts]), F.col("impact_score"))
 
     clock = F.lpad(F.col("plan_hour").cast("string"), 2, "0")
-    hours = F.round("expected_duration_h", 1).cast("decimal(12,1)").cast("string")
+    hours = F.bround("expected_duration_h", 1).cast("decimal(12,1)").cast("string")
     base = F.concat(
         say("Base template: ", ["template_cause"], " -> ", ["base_officers"], " officers, ", ["base_barricades"], " barricades"),
         F.when(F.col("recovery_van") > 0, say(", ", ["recovery_van"], " recovery van")).otherwise(""),

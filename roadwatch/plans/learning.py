@@ -309,7 +309,7 @@ def duration_p50(spark, sf):
 @query("duration_p90")
 def duration_p90(spark, sf):
     oof = duration_oof(spark, sf)
-    return L.coverage(L.with_p90(oof, L.conformal_margin(oof, "p50_log"), "p50_log", F.lit(0.0)))
+    return L.coverage(L.with_p90(oof, L.conformal_margin(oof, "p50_log"), "p50_log", L.overall_margin(oof, "p50_log")))
 
 
 @query("feature_importance")
@@ -333,8 +333,8 @@ def predictions(spark, sf):
     scored = L.calibrate(scored, calibrated, "raw_p", "closure_p")
     scored = priority_fit(spark, sf).score(scored, "priority_p")
     scored = duration_fit(spark, sf).score(scored, "p50_log")
-    margin = L.conformal_margin(duration_oof(spark, sf), "p50_log")
-    scored = L.with_p90(scored, margin, "p50_log", F.lit(0.0)).withColumns(
+    held = duration_oof(spark, sf)
+    scored = L.with_p90(scored, L.conformal_margin(held, "p50_log"), "p50_log", L.overall_margin(held, "p50_log")).withColumns(
         {"p50_h": F.greatest(F.expm1("p50_log"), F.lit(0.0)), "p90_h": F.greatest(F.expm1("p90_log"), F.lit(0.0))})
     medians = stats.cause_medians(ft)
     overall = stats.duration_quantiles(ft, {"m": 0.5}).scalar()
@@ -408,7 +408,7 @@ def export_plans(spark, sf):
     """The published report shows the first 20 comparisons."""
     report = anchors.anchor_comparison(incidents(spark, sf), corridors.risk(spark, sf))
     path = new_folder(spark, "plans")
-    D.write_json(report.orderBy(F.col("incident_id").cast("long")).limit(20), path)
+    D.write_json(report.orderBy(F.expr("try_cast(incident_id AS bigint)"), "incident_id").limit(20), path)
     return spark.read.json(path).select(
         "incident_id", F.col("engine_impact_score").cast("int").alias("impact_score"),
         F.col("engine_recommended_officers").cast("int").alias("recommended_officers"),
