@@ -27,6 +27,8 @@ from roadwatch.llm.common import id_field, map_texts, texts
 
 #: entries per generation of a cache; two generations are held
 CACHE = 200_000
+#: the same for pre-tokens and stretches, whose merging costs more than the memory of a longer cache
+MERGED = 500_000
 _MIX = 0xBF58476D1CE4E5B9
 _STEP = 0x9E3779B97F4A7C15
 _ALL = (1 << 64) - 1
@@ -126,8 +128,10 @@ class Encoder:
         self.tokens = tokens
         self.table = table or PerfectHash(tokens)
         self.findall = regex.compile(pattern).findall
-        self.pieces = Cache()
-        self.stretched = Cache()
+        self.pieces = Cache(MERGED)
+        self.stretched = Cache(MERGED)
+        #: ranks of all pairs of bytes, with which every merge begins
+        self.pairs = [self.table.get(bytes([a, b])) for a in range(256) for b in range(256)]
         self.decimal = [str(i) for i in range(len(tokens))]
 
     def merge(self, piece: bytes) -> list[int]:
@@ -136,7 +140,7 @@ class Encoder:
         after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         heap = []
         for i in range(n - 1):
-            r = rank(piece[i:i + 2])
+            r = self.pairs[piece[i] << 8 | piece[i + 1]]
             if r >= 0:
                 heap.append((r, i, i + 2))
         heapq.heapify(heap)
