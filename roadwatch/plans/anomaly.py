@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Window, functions as F
 
+from roadwatch.functions import columns as C
 from roadwatch.operators import anomaly as A
 from roadwatch.plans.registry import artefact, feed, incidents, on_incidents, query
 from roadwatch.session import new_folder
@@ -109,14 +108,19 @@ def isolation_forest_score(spark, sf):
     return A.forest_detect(live, fitted, A.forest_offset(base, fitted))
 
 
-_PVA = (", log AS (SELECT id AS incident_id, CASE WHEN event_cause = 'vehicle_breakdown' THEN 'High' ELSE 'Low' END AS predicted_priority, "
+_PVA = (", log AS (SELECT id AS incident_id, CASE WHEN lower(trim(event_cause)) = 'vehicle_breakdown' THEN 'High' ELSE 'Low' END AS predicted_priority, "
         "requires_road_closure AS predicted_closure, 2.0::DOUBLE AS predicted_duration, coalesce(priority, 'Low') AS actual_priority, "
         "requires_road_closure AS actual_closure FROM incidents)")
+_LIVE_PVA = ", cut AS (SELECT min(start_datetime) + INTERVAL 20 DAY AS t FROM incidents)" + _PVA.replace("FROM incidents)", "FROM incidents, cut WHERE start_datetime >= t)")
+
+
+def with_clean_causes(inc):
+    return inc.withColumn("event_cause", C.tidy("event_cause"))
 
 
 @query("predicted_vs_actual", on_incidents(_PVA + " SELECT * FROM log").replace(") , log", "), log"))
 def predicted_vs_actual(spark, sf):
-    return A.predicted_vs_actual(incidents(spark, sf))
+    return A.predicted_vs_actual(with_clean_causes(incidents(spark, sf)))
 
 
 @query("accuracy_metrics", on_incidents(_PVA + ", d AS (SELECT log.*, (epoch_us(closed_datetime) - epoch_us(start_datetime)) / 3600000000.0::DOUBLE AS actual_duration "
@@ -125,19 +129,29 @@ def predicted_vs_actual(spark, sf):
 def accuracy_metrics(spark, sf):
     inc = incidents(spark, sf)
     hours = inc.select("id", ((F.unix_micros("closed_datetime") - F.unix_micros("start_datetime")) / 3.6e9).alias("actual_duration"))
-    log = A.predicted_vs_actual(inc)
+    log = A.predicted_vs_actual(with_clean_causes(inc))
     return A.accuracy_metrics(log.join(hours, log.incident_id == hours.id))
 
 
 # -------------------------------------------------------------------- streaming
 _BY_DAY = "SELECT CAST(start_datetime AS DATE) AS day, count(*) AS n FROM incidents GROUP BY 1"
-_CLOSED = (", c AS (SELECT date_trunc('hour', start_datetime) AS hour_start, coalesce(corridor, 'Non-corridor') AS corridor, count(*) AS event_count FROM incidents GROUP BY 1, 2), "
-           "f AS (SELECT hour_start, corridor, CAST(hour(hour_start) AS INTEGER) AS hour, event_count FROM c WHERE hour_start + INTERVAL 1 HOUR <= (SELECT max(start_datetime) FROM incidents) - INTERVAL 1 HOUR)")
+_HOURLY = (", f AS (SELECT date_trunc('hour', start_datetime) AS hour_start, coalesce(corridor, 'Non-corridor') AS corridor, "
+           "CAST(hour(start_datetime) AS INTEGER) AS hour, count(*) AS event_count FROM incidents, cut WHERE start_datetime >= t GROUP BY 1, 2, 3)")
 
 
-def live_feed(spark, sf):
-    """The feed file as a stream source; the pattern makes a single file readable as a folder."""
-    return T.replay_source(spark, os.path.join(sf, "events.parque[t]"))
+def publish_live(spark, sf):
+    """Folder of the part of the feed from the cutoff on; the cutoff is one number fixed at the start."""
+    first = incidents(spark, sf).agg(F.min("start_datetime") + F.expr(f"INTERVAL {DAYS} DAYS")).first()[0]
+    path = new_folder(spark, "live-by-day")
+    T.publish_feed(feed(spark, sf).filter(F.col("ts").cast("timestamp") >= F.lit(first)), path)
+    return path
+
+
+def live_hours(spark, sf):
+    """Hourly counts of the live part as a finished feed."""
+    path = publish_live(spark, sf)
+    T.close_feed(spark, path)
+    return T.hourly_counts(T.replay_source(spark, path))
 
 
 def _sink(spark, stream, name):
@@ -155,31 +169,29 @@ def replay_source(spark, sf):
 
 @query("replay_stream", on_parts("SELECT id, start_datetime, event_cause FROM incidents, cut WHERE start_datetime >= t"))
 def replay_stream(spark, sf):
-    """Replay of the live part, a few files at a time; the split time is one number fixed at the start."""
-    first = incidents(spark, sf).agg(F.min("start_datetime") + F.expr(f"INTERVAL {DAYS} DAYS")).first()[0]
-    path = new_folder(spark, "live-by-day")
-    T.publish_feed(feed(spark, sf).filter(F.col("ts").cast("timestamp") >= F.lit(first)), path)
-    live = T.replay_source(spark, path, files_per_trigger=4)
+    """Replay of the live part, a few files at a time."""
+    live = T.replay_source(spark, publish_live(spark, sf), files_per_trigger=4)
     return _sink(spark, live.select("id", "start_datetime", "event_cause"), "live-replay")
 
 
-@query("stream_corridor_hour_counts", on_incidents(_CLOSED + " SELECT * FROM f").replace(") , c AS", "), c AS"))
+@query("stream_corridor_hour_counts", on_parts("").rstrip() + _HOURLY + " SELECT * FROM f")
 def stream_corridor_hour_counts(spark, sf):
-    return _sink(spark, T.hourly_counts(live_feed(spark, sf)), "hourly")
+    return _sink(spark, live_hours(spark, sf), "hourly")
 
 
-@query("stream_spikes", on_parts("").rstrip() + _CLOSED +
+@query("stream_spikes", on_parts("").rstrip() + _HOURLY +
        " SELECT f.*, TRUE AS is_anomaly FROM f, (SELECT quantile_cont(event_count, 0.025) AS lo, quantile_cont(event_count, 0.975) AS hi FROM based) q WHERE event_count < lo OR event_count > hi")
 def stream_spikes(spark, sf):
     base = A.baseline_counts(incidents(spark, sf), DAYS, per_day=True)
     lo, hi = base.agg(F.percentile("event_count", F.array(F.lit(0.025), F.lit(0.975)))).first()[0]
-    return _sink(spark, T.spikes(T.hourly_counts(live_feed(spark, sf)), lo, hi), "spikes")
+    return _sink(spark, T.spikes(live_hours(spark, sf), lo, hi), "spikes")
 
 
-@query("stream_accuracy_log", on_incidents(_PVA + " SELECT count(*) AS n, round(avg(CAST(predicted_closure = actual_closure AS INTEGER)), 6) AS closure_accuracy, "
-       "round(avg(CAST(predicted_priority = actual_priority AS INTEGER)), 6) AS priority_accuracy, CAST(NULL AS DOUBLE) AS duration_mae FROM log").replace(") , log", "), log"))
+@query("stream_accuracy_log", on_incidents(_LIVE_PVA + " SELECT count(*) AS n, round(avg(CAST(predicted_closure = actual_closure AS INTEGER)), 6) AS closure_accuracy, "
+       "round(avg(CAST(predicted_priority = actual_priority AS INTEGER)), 6) AS priority_accuracy, CAST(NULL AS DOUBLE) AS duration_mae FROM log").replace(") , cut", "), cut"))
 def stream_accuracy_log(spark, sf):
-    return A.accuracy_metrics(_sink(spark, T.accuracy_log(live_feed(spark, sf)), "accuracy"))
+    live = with_clean_causes(T.replay_source(spark, publish_live(spark, sf)))
+    return A.accuracy_metrics(_sink(spark, T.accuracy_log(live), "accuracy"))
 
 
 @query("stream_checkpoint", on_incidents(_BY_DAY))

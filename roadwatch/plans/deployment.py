@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from roadwatch import settings as S
 from roadwatch.functions import columns as C, geo
@@ -504,9 +506,9 @@ def stratified_sample(spark, sf):
 
 
 @query("union_samples", on_incidents(
-    " SELECT c AS cause, count(*) AS n FROM (SELECT lower(trim(event_cause)) AS c FROM incidents WHERE lower(trim(event_cause)) = 'accident' "
-    "UNION ALL SELECT lower(trim(event_cause)) FROM incidents WHERE lower(trim(event_cause)) = 'pot_holes') GROUP BY 1"))
+    " SELECT c AS cause, count(*) AS n FROM (SELECT lower(trim(event_cause)) AS c FROM incidents) "
+    f"WHERE c IN {_SAMPLE} GROUP BY 1"))
 def union_samples(spark, sf):
     tidy = incidents(spark, sf).select("id", C.tidy("event_cause").alias("cause"))
-    parts = tidy.filter("cause = 'accident'").unionByName(tidy.filter("cause = 'pot_holes'"))
-    return parts.groupBy("cause").agg(F.count("*").alias("n"))
+    parts = [tidy.filter(F.col("cause") == cause) for cause in S.SAMPLE_CAUSES]
+    return reduce(DataFrame.unionByName, parts).groupBy("cause").agg(F.count("*").alias("n"))

@@ -269,6 +269,10 @@ def closure_threshold(spark, sf):
     return V.best_threshold(V.threshold_sweep(closure_oof(spark, sf), "closure_p", "closure"))
 
 
+def fitted_threshold(spark, sf) -> float:
+    return closure_threshold(spark, sf).first().threshold
+
+
 @query("random_search")
 def random_search(spark, sf):
     return L.random_search(features(spark, sf), "closure", n=3, iterations=(5, ITERATIONS))
@@ -295,6 +299,36 @@ def priority_restricted(spark, sf):
     return model.transform(ft).select("id", "high", L.probability("priority_p"))
 
 
+def priority_oof(spark, sf):
+    """Held-out scores of the restricted form; the cause is encoded, fold by fold, in place of the corridor."""
+    def held_out():
+        ft = stored(features(spark, sf), "restricted")
+        return L.out_of_fold(ft, "high", L.classifier("high", ITERATIONS), "priority_p", encode="cause_cat",
+                             categories=L.usable_categories(ft, S.PRIORITY_CATEGORICAL))
+    return artefact(spark, sf, "priority-oof", held_out)
+
+
+@query("priority_oof_auc")
+def priority_oof_auc(spark, sf):
+    """Quality of the restricted priority model on rows it was not fitted on."""
+    oof = priority_oof(spark, sf)
+    return V.auc(oof, "priority_p", "high").withColumn("average_precision", V.average_precision(oof, "priority_p", "high").scalar())
+
+
+@query("priority_calibration")
+def priority_calibration(spark, sf):
+    oof = priority_oof(spark, sf)
+    model = L.fit_isotonic(oof, "priority_p", "high")
+    return L.calibrate(oof, model, "priority_p", "calibrated_p").select("id", "high", "priority_p", "calibrated_p")
+
+
+@query("closure_oof_quality")
+def closure_oof_quality(spark, sf):
+    """AUC and average precision of the closure model's held-out scores."""
+    oof = closure_oof(spark, sf)
+    return V.auc(oof, "closure_p", "closure").withColumn("average_precision", V.average_precision(oof, "closure_p", "closure").scalar())
+
+
 def duration_oof(spark, sf):
     return artefact(spark, sf, "duration-oof", lambda: L.out_of_fold(
         L.log_durations(features(spark, sf)), "log_h", L.median_regressor("log_h", ITERATIONS), "p50_log",
@@ -317,6 +351,16 @@ def feature_importance(spark, sf):
     return closure_fit(spark, sf).importances()
 
 
+@query("priority_importance")
+def priority_importance(spark, sf):
+    return priority_fit(spark, sf).importances()
+
+
+@query("duration_importance")
+def duration_importance(spark, sf):
+    return duration_fit(spark, sf).importances()
+
+
 @query("top_features")
 def top_features(spark, sf):
     top = closure_fit(spark, sf).importances().limit(12)
@@ -328,7 +372,7 @@ def predictions(spark, sf):
     ft = features(spark, sf)
     oof = closure_oof(spark, sf)
     calibrated = L.fit_isotonic(oof, "closure_p", "closure")
-    threshold = V.best_threshold(V.threshold_sweep(oof, "closure_p", "closure")).first().threshold
+    threshold = fitted_threshold(spark, sf)
     scored = closure_fit(spark, sf).score(ft, "raw_p")
     scored = L.calibrate(scored, calibrated, "raw_p", "closure_p")
     scored = priority_fit(spark, sf).score(scored, "priority_p")
@@ -373,7 +417,8 @@ def save_models(spark, sf):
     f"(SELECT round(quantile_cont(ln(1 + duration_h), 0.95), 6) FROM ft WHERE duration_h BETWEEN 0 AND 720) AS duration_log_p95 FROM {_MED} m"))
 def write_duration_fallback(spark, sf):
     path = new_folder(spark, "fallback")
-    D.write_json(D.fallback_document(features(spark, sf), closure_threshold=0.5), path)
+    threshold = fitted_threshold(spark, sf)
+    D.write_json(D.fallback_document(features(spark, sf), closure_threshold=threshold), path)
     schema = ("global_median_h double, duration_log_p95 double, cause_medians map<string,double>, n_examples map<string,bigint>, "
               "fallback_causes array<string>")
     doc = spark.read.schema(schema).json(path)

@@ -18,6 +18,18 @@ def publish_feed(events: DataFrame, path: str, mode: str = "append") -> None:
     events.withColumn("day", F.to_date("ts")).write.mode(mode).partitionBy("day").parquet(path)
 
 
+def close_feed(spark: SparkSession, path: str, hours: int = 3) -> None:
+    """End a finished feed with a marker ``hours`` after its last event, which moves the watermark past every open hour.
+
+    The marker's own hour stays open, so it is never part of a result; ``hours`` must exceed the delay by two.
+    """
+    last = spark.read.schema(FEED_SCHEMA).parquet(path).agg(F.max("ts").alias("ts")).filter("ts IS NOT NULL")
+    columns = [f.strip().split() for f in FEED_SCHEMA.split(",")]
+    marker = last.select(*[
+        (F.col("ts") + F.expr(f"INTERVAL {hours} HOURS") if name == "ts" else F.lit(None)).cast(kind).alias(name) for name, kind in columns])
+    publish_feed(marker, path)
+
+
 def replay_source(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """Incidents as a stream of files; ``files_per_trigger`` paces the replay."""
     reader = spark.readStream.schema(FEED_SCHEMA)

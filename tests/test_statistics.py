@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadwatch import settings as S
-from roadwatch.operators import anomaly as A, density as D, evaluation as V, ranking as K
+from roadwatch.operators import anomaly as A, density as D, evaluation as V, learning as L, ranking as K
 from roadwatch.operators.cleaning import spatial_view
 from roadwatch.sources.incidents import INCIDENT_SCHEMA, conform, missing_columns, scan_incidents
 from roadwatch.streaming import replay
@@ -92,6 +92,65 @@ def test_density_equals_the_dense_sum(spark):
     assert res[1] == 1.0 and res[2] == 0.0
 
 
+def test_density_without_spread(spark):
+    rng = np.random.default_rng(5)
+    usual = [(12.9 + 0.05 * rng.random(), 77.5 + 0.05 * rng.random(), 5, "evening", "usual") for _ in range(60)]
+    spot = [(13.0, 77.6, 4, "late_night", "spot")] * 25
+    line = [(12.9 + 0.002 * i, 77.4 + 0.003 * i, 3, "off_peak", "line") for i in range(30)]
+    single = [(13.1, 77.7, 9, "evening", "single")]
+    sp = spark.createDataFrame(usual + spot + line + single, "lat double, lon double, impact_score int, time_band string, cause string")
+    status = {r.filter_value: (r.computed, r.reason) for r in D.surface_status(sp).collect()}
+    for value in ("spot", "late_night", "line", "off_peak", "single"):
+        assert status[value] == (False, "no spread")
+    assert status["early_morning"] == (False, "too few rows") and status["all"] == status["usual"] == status["evening"] == (True, None)
+    grid = D.density_grid(sp).groupBy("filter_value").agg(F.count("*").alias("n"), F.max("intensity").alias("top")).collect()
+    assert all(r.n == 40_000 and r.top == (1.0 if status[r.filter_value][0] else 0.0) for r in grid) and len(grid) == 9
+    at = spark.createDataFrame([(1, 13.0, 77.6)], "point_id int, lat double, lon double")
+    only = sp.filter("cause = 'spot'")
+    assert D.density_at_points(at, only, F.lit(0.0)).first().density_score == 0.0
+
+
+def test_calibration_equals_pooled_means(spark):
+    rng = np.random.default_rng(8)
+    s = np.repeat(0.5 + 1e-6 * np.arange(40), 5)   # equal in four digits
+    y = (rng.random(200) < np.repeat(np.arange(40) / 40, 5)).astype(float)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(s, y)], "s0 double, y int")
+    got = {r.s0: r.c for r in L.calibrate(df, L.fit_isotonic(df, "s0", "y"), "s0", "c").collect()}
+    mean = y.reshape(40, 5).mean(1)
+    for k, v in enumerate(np.unique(s)):
+        want = max(min(mean[a:b + 1].mean() for b in range(k, 40)) for a in range(k + 1))
+        assert got[v] == pytest.approx(want, abs=1e-6)
+    coarse = L.calibrate(df, L.fit_isotonic(df, "s0", "y", digits=4), "s0", "c", digits=4)
+    assert [r.c for r in coarse.select("c").distinct().collect()] == [pytest.approx(y.mean())]
+
+
+def test_wide_category_stays_a_feature(spark):
+    df = spark.range(3000).select(F.concat(F.lit("s"), F.col("id") % 1500).alias("station"), (F.col("id") % 1500 < 700).cast("int").alias("y"),
+                                  (F.col("id") % 3).cast("double").alias("x"))
+    sizes = L.usable_categories(df, ["station"])
+    model = L.classifier("y", 1)(sizes, encoded=None, numeric=("x",)).fit(df)
+    assert model.stages[-2].getInputCols() == ["station_idx", "x"] and model.stages[-1].featureImportances[0] > 0.9
+
+
+def test_finished_stream_closes_every_hour(spark, sf, tmp_path):
+    feed = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    src, out, state = (str(tmp_path / n) for n in ("feed", "out", "state"))
+    replay.publish_feed(feed, src)
+    replay.close_feed(spark, src)
+    replay.run_to_end(replay.hourly_counts(replay.replay_source(spark, src)), out, state)
+    assert spark.read.parquet(out).agg(F.sum("event_count")).first()[0] == feed.count()
+    late = feed.limit(1).withColumn("ts", F.lit("2020-01-01 05:00:00").cast("timestamp_ntz"))
+    replay.publish_feed(late, src)
+    replay.run_to_end(replay.hourly_counts(replay.replay_source(spark, src)), out, state)
+    assert spark.read.parquet(out).agg(F.sum("event_count")).first()[0] == feed.count()   # later than the delay: left out
+
+
+def test_priority_rule_reaches_both_branches(spark):
+    rows = spark.createDataFrame([(1, "vehicle_breakdown", None, "High"), (2, "accident", True, None)], "id int, event_cause string, requires_road_closure boolean, priority string")
+    got = {r.incident_id: (r.predicted_priority, r.actual_priority, r.actual_closure) for r in A.predicted_vs_actual(rows).collect()}
+    assert got == {1: ("High", "High", False), 2: ("Low", "Low", True)}
+
+
 def test_forest_lookup_and_contamination(spark):
     rng = np.random.default_rng(3)
     counts = np.concatenate([rng.poisson(20, 470), rng.integers(60, 90, 30)])
