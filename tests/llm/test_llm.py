@@ -291,6 +291,23 @@ def test_editing(odd, none, spark):
     assert single.near_next == 1.0
 
 
+def test_recall_of_near_classes(spark):
+    """Pairs a little above the threshold, against brute force over all fingerprints."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 16, (400, editing.SLOTS), np.uint8)
+    near = base.copy()
+    for row in near:
+        at = rng.choice(editing.SLOTS, rng.integers(1, 25), replace=False)
+        row[at] = (row[at] + 1) % 16
+    prints = np.concatenate([base, near])
+    names = editing._strings(prints)
+    alike = [(a, b) for a in range(len(prints)) for b in a + 1 + np.flatnonzero((prints[a + 1:] == prints[a]).mean(axis=1) >= editing.THRESHOLD)]
+    got = {r.fingerprint: r.class_id for r in editing.near_classes(spark.createDataFrame(list(enumerate(names)), "doc_id long, fingerprint string")).collect()}
+    assert len(alike) == 400 and sum(got[names[a]] == got[names[b]] for a, b in alike) >= 0.95 * len(alike)
+    linked = {i: got[n] for i, n in enumerate(names)}
+    assert all(linked[i] in (i, i - 400) for i in linked)   # nothing else is in a class
+
+
 def test_walk_in_numpy_and_python_agree(monkeypatch):
     rng = random.Random(5)
     parts = [editing.classes("".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(0, 900)))) for _ in range(40)]
