@@ -252,9 +252,27 @@ def spanning(prints: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     return links
 
 
+def _shared(batches):
+    """Of rows (key, node) sorted by key, those whose key another row has too; only the last row is carried over."""
+    key, node, met = None, None, False
+    for batch in batches:
+        keys, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not keys.size:
+            continue
+        if key is not None:
+            keys, nodes = np.append(key, keys), np.append(node, nodes)
+        same = keys[1:] == keys[:-1]
+        before, after = np.append(met, same), np.append(same, False)
+        take = np.flatnonzero((before | after)[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(keys[take]), pa.array(nodes[take])], names=["key", "node"])
+        key, node, met = keys[-1:], nodes[-1:], bool(before[-1])
+    if met:
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], names=["key", "node"])
+
+
 def _verify(threshold: float, last: bool):
     """Rows (key, node, print) sorted by key: verified links (kind 0), or the rows of a run beyond MAX_RUN (kind 1)."""
-    target = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("print", pa.string())])
+    target = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("print", pa.binary())])
 
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), target)], schema=target)
@@ -262,7 +280,8 @@ def _verify(threshold: float, last: bool):
     def solve(run):
         if len(run) < 2:
             return
-        prints = np.frombuffer("".join(r[2] for r in run).encode(), np.uint8).reshape(len(run), -1)
+        packed = np.frombuffer(b"".join(r[2] for r in run), np.uint8).reshape(len(run), -1)
+        prints = np.concatenate([packed >> 4, packed & 15], axis=1)
         found = [(0, run[a][1], run[b][1], None) for a, b in spanning(prints, threshold)]
         if found:
             yield batch(found)
@@ -286,19 +305,27 @@ def _verify(threshold: float, last: bool):
     return run
 
 
+def node_of(fingerprint: str):
+    """64 bits that name a fingerprint."""
+    return F.xxhash64(fingerprint)
+
+
 def near_classes(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(fingerprint, class_id) of (doc_id, fingerprint): smallest doc_id reachable over verified links.
+    """(node, class_id) of (doc_id, fingerprint): smallest doc_id reachable over verified links.
 
-    Equal fingerprints are one node. Only keys that several nodes share are verified; a key with more nodes than one task should
-    hold is split by other bands of the same nodes.
+    Equal fingerprints are one node (``node_of``), which carries its notes as 64 bytes; that of empty texts has none and no links.
+    Keys cross the network once and only those that several nodes share are joined with the notes and verified. A key with more
+    nodes than one task should hold is split by other bands of the same nodes.
     """
-    nodes = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")).withColumn("node", F.xxhash64("fingerprint")), "prints")
-    todo, found = nodes.select("node", F.col("fingerprint").alias("print"), F.lit(0).cast("long").alias("within")), None
+    nodes = prints.groupBy(node_of("fingerprint").alias("node"), F.unhex("fingerprint").alias("print")).agg(F.min("doc_id").alias("first"))
+    nodes = stored(nodes, "prints")
+    todo, found = nodes.where("print IS NOT NULL").select("node", "print", F.lit(0).cast("long").alias("within")), None
     for level in range(3):
-        keys = todo.select("node", F.explode(F.transform(F.array(*_band_keys("print", level)), lambda k: F.xxhash64(k, F.col("within")))).alias("key"))
-        shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-        rows = keys.join(shared, "key").join(todo.select("node", "print").distinct(), "node")
-        out = rows.select("key", "node", "print").repartition("key").sortWithinPartitions("key").mapInArrow(_verify(threshold, level == 2), "kind byte, a long, b long, print string")
+        spelled = todo.select("node", "within", F.lower(F.hex("print")).alias("digits"))
+        keys = spelled.select(F.explode(F.transform(F.array(*_band_keys("digits", level)), lambda k: F.xxhash64(k, F.col("within")))).alias("key"), "node")
+        shared = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long")
+        rows = shared.join(todo.select("node", "print"), "node").select("key", "node", "print")
+        out = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(threshold, level == 2), "kind byte, a long, b long, print binary")
         out = stored(out, "print-links")
         pairs = out.where("kind = 0").select("a", "b")
         found = pairs if found is None else found.unionByName(pairs)
@@ -306,13 +333,14 @@ def near_classes(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if todo.isEmpty():
             break
     roots = components(found).withColumnRenamed("root", "of")
-    known = nodes.join(roots, "node")
+    known = nodes.select("node", "first").join(roots, "node")
     lowest = known.groupBy("of").agg(F.min("first").alias("low"))
     reach = known.join(lowest, "of").select("node", "low")
-    return nodes.join(reach, "node", "left").select("fingerprint", F.coalesce("low", "first").alias("class_id"))
+    return nodes.select("node", "first").join(reach, "node", "left").select("node", F.coalesce("low", "first").alias("class_id"))
 
 
 def classified(docs: DataFrame) -> DataFrame:
     """The rows of ``fingerprints`` with class_id: documents whose fingerprints are alike, by the smallest doc_id."""
     rows = stored(fingerprints(docs), "fingerprints")
-    return rows.join(near_classes(rows.select("doc_id", "fingerprint")), "fingerprint").select(*rows.columns, "class_id")
+    classes = near_classes(rows.select("doc_id", "fingerprint"))
+    return rows.withColumn("node", node_of("fingerprint")).join(classes, "node").select(*rows.columns, "class_id")

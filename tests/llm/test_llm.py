@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import xxhash
@@ -302,12 +303,22 @@ def test_recall_of_near_classes(spark):
     prints = np.concatenate([base, near])
     names = editing._strings(prints)
     alike = [(a, b) for a in range(len(prints)) for b in a + 1 + np.flatnonzero((prints[a + 1:] == prints[a]).mean(axis=1) >= editing.THRESHOLD)]
-    got = {r.fingerprint: r.class_id for r in editing.near_classes(spark.createDataFrame(list(enumerate(names)), "doc_id long, fingerprint string")).collect()}
+    table = spark.createDataFrame(list(enumerate(names)), "doc_id long, fingerprint string").withColumn("node", editing.node_of("fingerprint"))
+    got = {r.fingerprint: r.class_id for r in table.join(editing.near_classes(table), "node").collect()}
     assert len(alike) == 400 and sum(got[names[a]] == got[names[b]] for a, b in alike) >= 0.95 * len(alike)
     linked = {i: got[n] for i, n in enumerate(names)}
     assert all(linked[i] in (i, i - 400) for i in linked)   # nothing else is in a class
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 50])
+def test_shared_keys(size):
+    keys = sorted(random.Random(6).choices(range(30), k=40))
+    rows = list(zip(keys, range(40)))
+    parts = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i:i + size])], names=["key", "node"]) for i in range(0, 40, size)]
+    got = [r for b in editing._shared(parts) for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert got == [r for r in rows if keys.count(r[0]) > 1] and not list(editing._shared([]))
+
+
 def test_walk_in_numpy_and_python_agree(monkeypatch):
     rng = random.Random(5)
     parts = [editing.classes("".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(0, 900)))) for _ in range(40)]
