@@ -11,8 +11,6 @@ from roadwatch.plans.registry import FEATURES_SQL, artefact, features, hash_sql,
 from roadwatch.session import new_folder, stored
 from roadwatch.sources import documents as D
 
-ITERATIONS = 10   # boosted trees per model in the registered queries
-
 # ---------------------------------------------------------------------- folds
 _HASHED = f", hf AS (SELECT *, {hash_sql('id', 42)} AS h FROM ft)"
 
@@ -223,7 +221,7 @@ def duration_fallback(spark, sf):
 
 # ---------------------------------------------------------------------- models
 def closure_factory():
-    return L.classifier("closure", ITERATIONS, "class_weight")
+    return L.classifier("closure", weight="class_weight")
 
 
 def closure_oof(spark, sf):
@@ -245,12 +243,12 @@ def closure_fit(spark, sf):
 
 
 def priority_fit(spark, sf):
-    factory = L.classifier("high", ITERATIONS)
+    factory = L.classifier("high")
     return _model(spark, sf, "priority-model", lambda: L.fit(features(spark, sf), "high", factory))
 
 
 def duration_fit(spark, sf):
-    factory = L.median_regressor("log_h", ITERATIONS)
+    factory = L.median_regressor("log_h")
     return _model(spark, sf, "duration-model", lambda: L.fit(L.log_durations(features(spark, sf)), "log_h", factory, regression=True))
 
 
@@ -275,7 +273,7 @@ def fitted_threshold(spark, sf) -> float:
 
 @query("random_search")
 def random_search(spark, sf):
-    return L.random_search(features(spark, sf), "closure", n=3, iterations=(5, ITERATIONS))
+    return L.random_search(features(spark, sf), "closure")
 
 
 @query("isotonic_calibration")
@@ -295,7 +293,7 @@ def priority_restricted(spark, sf):
     """Priority without corridor and station, which give the rule away."""
     ft = stored(features(spark, sf), "restricted")
     cats = L.usable_categories(ft, S.PRIORITY_CATEGORICAL)
-    model = L.classifier("high", ITERATIONS)(cats, encoded=None).fit(ft)
+    model = L.classifier("high")(cats, encoded=None).fit(ft)
     return model.transform(ft).select("id", "high", L.probability("priority_p"))
 
 
@@ -303,7 +301,7 @@ def priority_oof(spark, sf):
     """Held-out scores of the restricted form; the cause is encoded, fold by fold, in place of the corridor."""
     def held_out():
         ft = stored(features(spark, sf), "restricted")
-        return L.out_of_fold(ft, "high", L.classifier("high", ITERATIONS), "priority_p", encode="cause_cat",
+        return L.out_of_fold(ft, "high", L.classifier("high"), "priority_p", encode="cause_cat",
                              categories=L.usable_categories(ft, S.PRIORITY_CATEGORICAL))
     return artefact(spark, sf, "priority-oof", held_out)
 
@@ -331,7 +329,7 @@ def closure_oof_quality(spark, sf):
 
 def duration_oof(spark, sf):
     return artefact(spark, sf, "duration-oof", lambda: L.out_of_fold(
-        L.log_durations(features(spark, sf)), "log_h", L.median_regressor("log_h", ITERATIONS), "p50_log",
+        L.log_durations(features(spark, sf)), "log_h", L.median_regressor("log_h"), "p50_log",
         stratified=False, regression=True))
 
 
