@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadwatch.llm.common import id_field, map_texts, texts
+from roadwatch.llm.common import free_name, id_field, keyed, map_texts, texts
 from roadwatch.llm.components import components
 from roadwatch.session import stored
 
@@ -49,13 +49,15 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 4, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long; columns ``keys`` of ``keyed`` come along."""
     def run(rows):
         fps = np.array([fingerprint(t, width) for t in rows["text"]], np.uint64)
-        return {"doc_id": rows["doc_id"], "fp": fps.view(np.int64)}
+        return {**rows, "fp": fps.view(np.int64)}
 
-    return map_texts(texts(docs), run, T.StructType([id_field(docs), T.StructField("fp", T.LongType())]))
+    fields = [T.StructField(k, T.LongType()) for k in (*keys, "fp")]
+    rows = keyed(docs).select("doc_id", "text", *keys) if keys else texts(docs)
+    return map_texts(rows, run, T.StructType([id_field(docs), *fields]))
 
 
 def _signed(mask: int) -> int:
@@ -188,8 +190,15 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
 
 
 def keep_one(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
-    """The document with the smallest doc_id of each component, all columns; rows that repeat it are one row."""
-    kept = near_duplicates(docs, width, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
-    same = docs["doc_id"].eqNullSafe(kept["_kept_id"])
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id"])
+    """The document with the smallest (doc_id, text hash) of each component, null ids last, all columns; rows that repeat
+    its id and text are one row."""
+    fps = stored(fingerprints(docs, width, ("rk", "tk")), "simhash")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk", "rk")
+    classes = fps.groupBy("fp").agg(F.min(order).alias("first"))
+    roots = components(links(classes.select("fp"), distance)).withColumnRenamed("node", "fp")
+    kept = classes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("of")).agg(F.min("first").alias("first"))
+    rk, tk = (free_name(docs, c) for c in ("_rk", "_tk"))
+    kept = kept.select(F.col("first.rk").alias(rk), F.col("first.tk").alias(tk))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = docs.withColumns({rk: F.xxhash64(F.col("doc_id"), text), tk: F.xxhash64(text)})
+    return named.join(kept, [rk, tk], "left_semi").dropDuplicates([rk, tk]).select(*docs.columns)

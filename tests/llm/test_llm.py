@@ -124,6 +124,16 @@ def test_keep_one(odd, none):
     assert len(ids) == len(set(ids)) and 1 in ids and 2 not in ids and 18 not in ids and {17, None} <= set(ids)
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    """The survivor is a row, not an id: clean texts under null or repeated ids stay, near copies go whatever their id."""
+    own = [" ".join(f"{name}{i}" for i in range(60)) for name in "abcdef"]
+    docs = [(None, own[0]), (None, own[1]), (None, own[1]), (3, own[2]), (3, own[3]), (5, own[4]), (None, own[4]), (5, own[5]), (6, own[5]), (5, own[5])]
+    want = [(None, own[0]), (None, own[1]), (3, own[2]), (3, own[3]), (5, own[4]), (5, own[5])]
+    for limit in (docs, docs[:2]):
+        got = [(r.doc_id, r.text) for r in simhash.keep_one(frame(spark, limit).repartition(3)).collect()]
+        assert sorted(got, key=key) == sorted((d for d in want if d in limit), key=key)
+
+
 # ---------------------------------------------------------------- 2
 
 @pytest.mark.parametrize("url, host, path, rule, verdict", [
