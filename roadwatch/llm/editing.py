@@ -37,6 +37,8 @@ CHARS = 6 << 20
 _BLOCK, _END, _CLASSES = 256, 64, 65
 _FEW = 12
 _STEPS = 1 << 36
+#: fingerprints compared with one other at once
+_PIECE = 1 << 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -225,31 +227,47 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 #: bands of sampled slots: texts of likeness t meet in one of them with a probability of about 1 - (1 - t^ROWS)^BANDS,
 #: which is 0.97 at the threshold and 0.9995 at 0.9
 BANDS, ROWS, THRESHOLD = 20, 8, 0.8
+#: a key with more nodes gets MAX_RUN ** 2 / 2 comparisons in one task; what they leave open is cut by equal blocks
 MAX_RUN = 50_000
 
 
-def band_slots(level: int = 0) -> np.ndarray:
+def band_slots() -> np.ndarray:
     """Slots of each band, drawn without repeats inside a band."""
-    priority = _mix(np.arange(BANDS * SLOTS, dtype=np.uint64) + np.uint64((SEED << 52) + (level << 40))).reshape(BANDS, SLOTS)
+    priority = _mix(np.arange(BANDS * SLOTS, dtype=np.uint64) + np.uint64(SEED << 52)).reshape(BANDS, SLOTS)
     return np.argsort(priority, axis=1)[:, :ROWS]
 
 
-def _band_keys(column: str, level: int):
-    return [F.concat(F.lit(chr(97 + b)), *[F.substring(column, int(s) + 1, 1) for s in sorted(own)]) for b, own in enumerate(band_slots(level))]
+def block_slots(threshold: float, level: int) -> list[np.ndarray]:
+    """All slots in one block more than slots that may differ at the threshold, other ones at each level: one block is equal."""
+    differ = SLOTS - int(np.ceil(threshold * SLOTS))
+    order = np.argsort(_mix(np.arange(SLOTS, dtype=np.uint64) + np.uint64((SEED << 52) + (level << 40))))
+    return np.array_split(order, min(SLOTS, differ + 1))
 
 
-def spanning(prints: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Pairs of rows that connect whatever is connected at the threshold: at most one per row."""
-    links, todo = [], np.arange(len(prints))
+def _slot_keys(column: str, groups):
+    return [F.concat(F.lit(chr(97 + g)), *[F.substring(column, int(s) + 1, 1) for s in sorted(own)]) for g, own in enumerate(groups)]
+
+
+def spanning(prints: np.ndarray, threshold: float, budget: float = np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (a, b) of rows that connect whatever is connected at the threshold: at most one per row. Beyond the budget of
+    comparisons, the third array has the rows that still may be near one another; all others were compared with them."""
+    none = np.empty(0, np.int64)
+    a, b, rest, todo, made = [none], [none], none, np.arange(len(prints)), 0
     while todo.size > 1:
-        frontier, todo = [todo[0]], todo[1:]
+        frontier, todo = [todo[:1]], todo[1:]
         while frontier and todo.size:
-            pivot = frontier.pop()
-            near = (prints[todo] == prints[pivot]).mean(axis=1) >= threshold
-            links += [(int(pivot), int(x)) for x in todo[near]]
-            frontier.extend(todo[near])
-            todo = todo[~near]
-    return links
+            if made >= budget:
+                rest, todo = np.concatenate([*frontier, todo]), none
+                break
+            pivot = frontier[-1][-1]
+            frontier[-1] = frontier[-1][:-1]
+            made += todo.size
+            near = np.concatenate([(prints[todo[i:i + _PIECE]] == prints[pivot]).mean(axis=1) >= threshold for i in range(0, todo.size, _PIECE)])
+            hits, todo = todo[near], todo[~near]
+            a.append(np.full(hits.size, pivot))
+            b.append(hits)
+            frontier = [x for x in (*frontier, hits) if x.size]
+    return np.concatenate(a), np.concatenate(b), rest
 
 
 def _shared(batches):
@@ -271,36 +289,38 @@ def _shared(batches):
 
 
 def _verify(threshold: float, last: bool):
-    """Rows (key, node, print) sorted by key: verified links (kind 0), or the rows of a run beyond MAX_RUN (kind 1)."""
-    target = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("print", pa.binary())])
+    """Rows (key, node, print) sorted by key: verified links (kind 0), or (node, key) that a run beyond MAX_RUN leaves open (kind 1).
 
-    def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), target)], schema=target)
+    A run is held as arrays, about 200 bytes a node.
+    """
+    def batch(kind, a, b):
+        if a.size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(a.size, kind, np.int8)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
 
-    def solve(run):
-        if len(run) < 2:
+    def solve(key, nodes, packed):
+        if nodes.size < 2:
             return
-        packed = np.frombuffer(b"".join(r[2] for r in run), np.uint8).reshape(len(run), -1)
         prints = np.concatenate([packed >> 4, packed & 15], axis=1)
-        found = [(0, run[a][1], run[b][1], None) for a, b in spanning(prints, threshold)]
-        if found:
-            yield batch(found)
+        a, b, rest = spanning(prints, threshold, np.inf if last or nodes.size <= MAX_RUN else MAX_RUN ** 2 // 2)
+        yield from batch(0, nodes[a], nodes[b])
+        yield from batch(1, nodes[rest], np.full(rest.size, key))
 
     def run(batches):
-        held, heavy = [], None
+        key, held = None, []
         for part in batches:
-            for row in zip(*(c.to_pylist() for c in part.columns)):
-                if row[0] == heavy:
-                    yield batch([(1, row[1], 0, row[2])])
-                    continue
-                if held and held[0][0] != row[0]:
-                    yield from solve(held)
+            if not part.num_rows:
+                continue
+            keys, nodes = part.column(0).to_numpy(), part.column(1).to_numpy()
+            packed = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(keys.size, -1)
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), keys.size]
+            for i, j in zip(cuts, cuts[1:]):
+                if held and keys[i] != key:
+                    yield from solve(key, *map(np.concatenate, zip(*held)))
                     held = []
-                held.append(row)
-                if len(held) > MAX_RUN and not last:
-                    yield batch([(1, r[1], 0, r[2]) for r in held])
-                    heavy, held = row[0], []
-        yield from solve(held)
+                key = keys[i]
+                held.append((nodes[i:j], packed[i:j]))
+        if held:
+            yield from solve(key, *map(np.concatenate, zip(*held)))
 
     return run
 
@@ -314,24 +334,27 @@ def near_classes(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, class_id) of (doc_id, fingerprint): smallest doc_id reachable over verified links.
 
     Equal fingerprints are one node (``node_of``), which carries its notes as 64 bytes; that of empty texts has none and no links.
-    Keys cross the network once and only those that several nodes share are joined with the notes and verified. A key with more
-    nodes than one task should hold is split by other bands of the same nodes.
+    Keys cross the network once and only those that several nodes share are joined with the notes and verified. What a key with
+    more nodes than one task should compare leaves open is cut within that key: nodes at the threshold agree in one of its blocks.
     """
     nodes = prints.groupBy(node_of("fingerprint").alias("node"), F.unhex("fingerprint").alias("print")).agg(F.min("doc_id").alias("first"))
     nodes = stored(nodes, "prints")
-    todo, found = nodes.where("print IS NOT NULL").select("node", "print", F.lit(0).cast("long").alias("within")), None
+    noted = nodes.where("print IS NOT NULL").select("node", "print")
+    todo, found = noted.withColumn("within", F.lit(0).cast("long")), None
     for level in range(3):
+        groups = block_slots(threshold, level) if level else band_slots()
         spelled = todo.select("node", "within", F.lower(F.hex("print")).alias("digits"))
-        keys = spelled.select(F.explode(F.transform(F.array(*_band_keys("digits", level)), lambda k: F.xxhash64(k, F.col("within")))).alias("key"), "node")
+        keys = spelled.select(F.explode(F.transform(F.array(*_slot_keys("digits", groups)), lambda k: F.xxhash64(k, F.col("within")))).alias("key"), "node")
         shared = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long")
-        rows = shared.join(todo.select("node", "print"), "node").select("key", "node", "print")
-        out = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(threshold, level == 2), "kind byte, a long, b long, print binary")
+        rows = shared.join(noted, "node").select("key", "node", "print")
+        out = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(threshold, level == 2), "kind byte, a long, b long")
         out = stored(out, "print-links")
         pairs = out.where("kind = 0").select("a", "b")
         found = pairs if found is None else found.unionByName(pairs)
-        todo = out.where("kind = 1").select(F.col("a").alias("node"), "print", F.lit(level + 1).cast("long").alias("within")).distinct()
+        todo = out.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("within"))
         if todo.isEmpty():
             break
+        todo = todo.join(noted, "node")
     roots = components(found).withColumnRenamed("root", "of")
     known = nodes.select("node", "first").join(roots, "node")
     lowest = known.groupBy("of").agg(F.min("first").alias("low"))

@@ -320,6 +320,37 @@ def test_recall_of_near_classes(spark):
     assert all(linked[i] in (i, i - 400) for i in linked)   # nothing else is in a class
 
 
+def test_heavy_keys_are_cut_without_loss(spark, monkeypatch):
+    """With MAX_RUN = 1 every shared key is cut further, and yet all pairs that share a band are verified, by brute force."""
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 16, (200, editing.SLOTS), np.uint8)
+    base[100:, :64] = base[100, :64]   # half of them share bands without being near
+    prints = [base]
+    for _ in range(2):   # chains of three, 25 slots apart
+        step = prints[-1].copy()
+        for row in step:
+            at = rng.choice(editing.SLOTS, 25, replace=False)
+            row[at] = (row[at] + 1) % 16
+        prints.append(step)
+    prints = np.concatenate(prints)
+    links = []
+    for own in editing.band_slots():
+        met = collections.defaultdict(list)
+        for i, row in enumerate(prints):
+            met[row[own].tobytes()].append(i)
+        links += [(a, b) for run in met.values() for k, a in enumerate(run) for b in run[k + 1:] if (prints[a] != prints[b]).sum() <= 25]
+    want = list(range(len(prints)))
+    for _ in want:
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    names = editing._strings(prints)
+    table = spark.createDataFrame(list(enumerate(names)), "doc_id long, fingerprint string").withColumn("node", editing.node_of("fingerprint"))
+    for limit in (1, 40, editing.MAX_RUN):
+        monkeypatch.setattr(editing, "MAX_RUN", limit)
+        got = {r.doc_id: r.class_id for r in table.join(editing.near_classes(table), "node").collect()}
+        assert [got[i] for i in range(len(prints))] == want, limit
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 50])
 def test_shared_keys(size):
     keys = sorted(random.Random(6).choices(range(30), k=40))
