@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadwatch.llm import bpe, classifier, editing, licenses, lines, packing, quality, repeats, simhash, urls
+from roadwatch.llm import bpe, classifier, editing, lexical, licenses, lines, nearest, packing, periodic, quality, repeats, simhash, urls
 from roadwatch.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,8 +64,23 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return repeats.dedup(read(spark, sf, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return periodic.digests(periodic.collapse(periodic.with_repetitions(read(spark, sf, "documents"))))
+
+
+def op12_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest.top_k(read(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op13_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.rank(read(spark, sf, "documents"), read(spark, sf, "benchmark"), k=20)
+
+
 for _query in (op1_simhash, op2_url_filter, op3_line_dedup, op4_quality_rules, op5_byte_bpe, op6_packing,
-               op7_quality_classifier, op8_license_scan, op9_fingerprints, op10_suffix_dedup):
+               op7_quality_classifier, op8_license_scan, op9_fingerprints, op10_suffix_dedup,
+               op11_periodic_runs, op12_exact_topk, op13_lexical_search):
     QUERIES[_query.__name__] = _query
 ORACLES["op3_line_dedup"] = lines.oracle()
 ORACLES["op4_quality_rules"] = quality.oracle()
+ORACLES["op12_exact_topk"] = nearest.oracle()
+ORACLES["op13_lexical_search"] = lexical.oracle()
