@@ -123,7 +123,7 @@ def _indexed(vocabulary: dict[bytes, int], schema: T.StructType):
                 at += len(take)
                 if len(ids) >= SHARD_DOCS or postings >= SHARD_POSTINGS:
                     yield flush()
-        if n_docs:
+        if n_docs or ids:
             yield flush()
 
     return run
