@@ -240,8 +240,8 @@ def test_shards_and_windows(monkeypatch):
     # a rare and a frequent term, one document wanted: blocks of the frequent one stay packed
     fresh = [lexical.Shard(r, n, total) for r in rows]
     for shard in fresh:
-        shard.top([(vocabulary["w58"], 9000), (vocabulary["w0"], 10)], 1)
-    wanted = {vocabulary["w58"], vocabulary["w0"]}
+        shard.top([(vocabulary[b"w58"], 9000), (vocabulary[b"w0"], 10)], 1)
+    wanted = {vocabulary[b"w58"], vocabulary[b"w0"]}
     assert 0 < sum(len(s.open) for s in fresh) < sum(int(np.isin(s.term, list(wanted)).sum()) for s in fresh) * 0.8
 
 
