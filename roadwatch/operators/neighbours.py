@@ -261,6 +261,16 @@ def nearby_closure_rate(df: DataFrame, radius: float = S.EPS_METRES, exclude_sel
     return _per_row(df, near, ["n", "closures"]).withColumn("nearby_closure_rate", rate).drop("n", "closures")
 
 
+def nearby_fold_counts(df: DataFrame, label: str, folds: int, n: str, s: str, radius: float = S.EPS_METRES, fold: str = "fold") -> DataFrame:
+    """Add arrays ``n`` and ``s`` with the number of rows and the sum of ``label`` within the radius, one entry per fold of
+    the neighbour. All folds come from one pass over the grid; who must not see a fold leaves its entry out."""
+    one = {f"_n{f}": F.count_if(F.col(fold) == f) for f in range(folds)}
+    sums = {f"_s{f}": F.coalesce(F.sum(F.when(F.col(fold) == f, F.col(label))), F.lit(0)) for f in range(folds)}
+    cells = prepared(df, one | sums)
+    near = radius_totals(cells, cells, radius, dict.fromkeys([*one, *sums], "sum"))
+    return _per_row(df, near, [*one, *sums]).withColumns({n: F.array(*one), s: F.array(*sums)}).drop(*one, *sums)
+
+
 def neighbour_counts(df: DataFrame, radius: float = S.EPS_METRES) -> DataFrame:
     """Rows within the radius of each row, itself included."""
     cells = prepared(df, {"neighbours": F.count("*")})

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roadwatch import settings as S
-from roadwatch.operators import anchors, encoding as enc, evaluation as V, learning as L, ranking, stats
+from roadwatch.functions import columns as C
+from roadwatch.operators import anchors, boosting, calibration as K, encoding as enc, evaluation as V, learning as L, neighbours as N, ranking, stats
 from roadwatch.plans import corridors, deployment as dep, spatial as geo
 from roadwatch.plans.registry import FEATURES_SQL, artefact, features, hash_sql, incidents, on_features, query, spatial
-from roadwatch.session import new_folder, stored
+from roadwatch.session import new_folder
 from roadwatch.sources import documents as D
 
 # ---------------------------------------------------------------------- folds
@@ -220,46 +221,67 @@ def duration_fallback(spark, sf):
 
 
 # ---------------------------------------------------------------------- models
-def closure_factory():
-    return L.classifier("closure", weight="class_weight")
+#: trees of the registered models and configurations of the search
+TREES, CONFIGURATIONS = 100, 20
+FOLDS = range(S.N_FOLDS)
+NEARBY = boosting.Counted("nearby_closure_rate", "closure", "nearby_n", "nearby_s", weight=1.0)
+_PLAIN = (*S.NUMERIC_FEATURES, *S.CATEGORICAL_FEATURES)
+_RESTRICTED = (*S.NUMERIC_FEATURES, *S.PRIORITY_CATEGORICAL)
 
 
-def closure_oof(spark, sf):
-    return artefact(spark, sf, "closure-oof", lambda: L.out_of_fold(
-        features(spark, sf), "closure", closure_factory(), "closure_p", weight=True))
+def _family(name, label, whole=True, **params):
+    """One model per fold left out, and one of all rows."""
+    return [boosting.Spec(name, label, held_out=f, trees=TREES, **params) for f in [*FOLDS, *([None] if whole else [])]]
 
 
-def _model(spark, sf, name, build):
-    """Fitted models are artefacts too: saved once, loaded from then on."""
+def _grown(spark, sf, name, build) -> boosting.Grown:
+    """Fitted models are artefacts too: saved once, with their scores, and loaded from then on."""
     def made():
         path = new_folder(spark, name)
         build().save(path)
         return spark.createDataFrame([(path,)], "path string")
-    return L.Fitted.load(spark, artefact(spark, sf, name, made).first().path)
+    return boosting.Grown.load(spark, artefact(spark, sf, name, made).first().path)
+
 
+def training(spark, sf):
+    """Features with folds that both labels are even in, and the closures near by, counted per fold."""
+    def made():
+        ft = ranking.stratified_folds(features(spark, sf).withColumn("_both", F.col("closure") * 2 + F.col("high")), "_both").drop("_both")
+        return N.nearby_fold_counts(ft, "closure", S.N_FOLDS, NEARBY.n, NEARBY.s)
+    return artefact(spark, sf, "training", made)
 
-def closure_fit(spark, sf):
-    return _model(spark, sf, "closure-model", lambda: L.fit(features(spark, sf), "closure", closure_factory(), weight=True))
 
+def label_models(spark, sf) -> boosting.Grown:
+    """Closure with and without the nearby rate, priority with all columns and in its restricted form: grown together."""
+    specs = [*_family("closure", "closure", balanced=True), *_family("closure without nearby", "closure", False, balanced=True, features=_PLAIN),
+             *_family("priority", "high"), *_family("priority restricted", "high", features=_RESTRICTED)]
+    return _grown(spark, sf, "label-models", lambda: boosting.grow(
+        training(spark, sf), specs, S.NUMERIC_FEATURES, S.CATEGORICAL_FEATURES, S.N_FOLDS, counted=[NEARBY]))
 
-def priority_fit(spark, sf):
-    factory = L.classifier("high")
-    return _model(spark, sf, "priority-model", lambda: L.fit(features(spark, sf), "high", factory))
 
+def duration_training(spark, sf):
+    return ranking.kfolds(features(spark, sf).withColumn("log_h", F.when(C.usable_duration(F.col("duration_h")), F.log1p("duration_h"))))
 
-def duration_fit(spark, sf):
-    factory = L.median_regressor("log_h")
-    return _model(spark, sf, "duration-model", lambda: L.fit(L.log_durations(features(spark, sf)), "log_h", factory, regression=True))
+
+def duration_models(spark, sf) -> boosting.Grown:
+    """Median and 0.9 quantile of log hours, grown together; rows without a usable duration train nothing."""
+    specs = [*_family("p50", "log_h", loss="quantile", quantile=0.5), *_family("p90", "log_h", loss="quantile", quantile=0.9)]
+    return _grown(spark, sf, "duration-models", lambda: boosting.grow(
+        duration_training(spark, sf), specs, S.NUMERIC_FEATURES, S.CATEGORICAL_FEATURES, S.N_FOLDS))
+
+
+def closure_oof(spark, sf):
+    return label_models(spark, sf).held_out("closure", "closure_p")
 
 
 @query("closure_model")
 def closure_model(spark, sf):
-    return closure_fit(spark, sf).score(features(spark, sf), "closure_p").select("id", "closure", "closure_p")
+    return label_models(spark, sf).score(training(spark, sf), {"closure": "closure_p"}).select("id", "closure", "closure_p")
 
 
 @query("oof_predictions")
 def oof_predictions(spark, sf):
-    return closure_oof(spark, sf).select("id", "closure", "fold", "closure_p")
+    return closure_oof(spark, sf).select("id", F.col("closure").cast("int").alias("closure"), "fold", "closure_p")
 
 
 @query("closure_threshold")
@@ -273,37 +295,90 @@ def fitted_threshold(spark, sf) -> float:
 
 @query("random_search")
 def random_search(spark, sf):
-    return L.random_search(features(spark, sf), "closure")
+    return artefact(spark, sf, "search", lambda: L.random_search(features(spark, sf), "closure", CONFIGURATIONS)).orderBy(
+        F.desc(F.round("mean_auc", 9)), "iterations", "step", "depth", "subsample")
+
+
+def tuned_models(spark, sf) -> boosting.Grown:
+    """The search's winner, fitted again on five folds and on all rows, with the nearby rate."""
+    best = random_search(spark, sf).first()
+    params = dict(trees=best.iterations, step=best.step, depth=best.depth, subsample=best.subsample)
+    specs = [boosting.Spec("tuned", "closure", held_out=f, balanced=True, **params) for f in [*FOLDS, None]]
+    return _grown(spark, sf, "tuned-models", lambda: boosting.grow(
+        training(spark, sf), specs, S.NUMERIC_FEATURES, S.CATEGORICAL_FEATURES, S.N_FOLDS, counted=[NEARBY]))
+
+
+@query("tuned_closure_auc")
+def tuned_closure_auc(spark, sf):
+    """The winning configuration and its quality on rows that it was not fitted on."""
+    oof = tuned_models(spark, sf).held_out("tuned", "tuned_p")
+    best = random_search(spark, sf).limit(1).drop("mean_auc")
+    return best.crossJoin(V.auc(oof, "tuned_p", "closure")).withColumn("average_precision", V.average_precision(oof, "tuned_p", "closure").scalar())
+
+
+def tuned_calibrated(spark, sf):
+    """Held-out scores of the tuned model, each calibrated by the other folds."""
+    oof = tuned_models(spark, sf).held_out("tuned", "tuned_p")
+    return K.apply(oof, K.fit_other_folds(oof, "tuned_p", "closure", S.N_FOLDS), "tuned_p", "calibrated_p", F.col("fold"))
+
+
+@query("nearby_feature_gain")
+def nearby_feature_gain(spark, sf):
+    """Held-out AUC of the closure model with the nearby closure rate and without it."""
+    grown = label_models(spark, sf)
+    parts = [V.auc(grown.held_out(name, "p"), "p", "closure").select(F.lit(name).alias("model"), "auc") for name in ("closure", "closure without nearby")]
+    return parts[0].unionByName(parts[1])
 
 
 @query("isotonic_calibration")
 def isotonic_calibration(spark, sf):
+    """Each held-out closure score calibrated by the other folds."""
     oof = closure_oof(spark, sf)
-    model = L.fit_isotonic(oof, "closure_p", "closure")
-    return L.calibrate(oof, model, "closure_p", "calibrated_p").select("id", "closure", "closure_p", "calibrated_p")
+    out = K.apply(oof, K.fit_other_folds(oof, "closure_p", "closure", S.N_FOLDS), "closure_p", "calibrated_p", F.col("fold"))
+    return out.select("id", F.col("closure").cast("int").alias("closure"), "closure_p", "calibrated_p")
+
+
+#: max-min formula over the distinct scores of each group g: points pt (g, score, s, w) to fit(g, score, value)
+ISOTONIC_SQL = (", cs AS (SELECT g, score, sum(s) OVER o AS cs, sum(w) OVER o AS cw, s, w, row_number() OVER o AS i FROM pt WINDOW o AS (PARTITION BY g ORDER BY score)), "
+                "av AS (SELECT a.g, a.i AS lo, b.i AS hi, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w)::DOUBLE AS m FROM cs a JOIN cs b ON a.g = b.g AND a.i <= b.i), "
+                "mi AS (SELECT c.g, c.i, lo, min(m) AS m FROM cs c JOIN av ON av.g = c.g AND lo <= c.i AND hi >= c.i GROUP BY 1, 2, 3), "
+                "fit AS (SELECT g, score, value FROM cs JOIN (SELECT g, i, max(m) AS value FROM mi GROUP BY 1, 2) USING (g, i))")
+
+
+@query("isotonic_rule_scores", RULE_SQL + ", pt AS (SELECT 0 AS g, score, sum(y) AS s, count(*) AS w FROM te GROUP BY 2)" + ISOTONIC_SQL
+       + " SELECT id, round(value, 6) AS calibrated FROM te JOIN fit USING (score)")
+def isotonic_rule_scores(spark, sf):
+    """Corridor-rule scores calibrated by one isotonic fit."""
+    rows = rule_scores(spark, sf)
+    out = K.apply(rows, K.fit(rows, "score", "y"), "score", "calibrated")
+    return out.select("id", F.round("calibrated", 6).alias("calibrated"))
+
+
+@query("isotonic_other_folds", RULE_SQL + ", pt AS (SELECT f AS g, score, sum(y) AS s, count(*) AS w FROM te JOIN (SELECT range AS f FROM range(5)) ON f <> fold GROUP BY 1, 2)" + ISOTONIC_SQL
+       + " SELECT g AS fold, round(score, 6) AS score, round(value, 6) AS value FROM fit")
+def isotonic_other_folds(spark, sf):
+    """The five cross-fitted calibrations of the corridor-rule scores, at the scores they were fitted on."""
+    rows = rule_scores(spark, sf)
+    fits = K.fit_other_folds(rows, "score", "y", S.N_FOLDS)
+    points = rows.select(F.explode(F.sequence(F.lit(0), F.lit(S.N_FOLDS - 1))).alias("g"), "fold", "score").where("g != fold").select("g", "score").distinct()
+    out = K.apply(points, fits, "score", "value", F.col("g"))
+    return out.select(F.col("g").cast("bigint").alias("fold"), F.round("score", 6).alias("score"), F.round("value", 6).alias("value"))
 
 
 @query("priority_model")
 def priority_model(spark, sf):
-    return priority_fit(spark, sf).score(features(spark, sf), "priority_p").select("id", "high", "priority_p")
+    return label_models(spark, sf).score(training(spark, sf), {"priority": "priority_p"}).select("id", "high", "priority_p")
 
 
-@query("priority_restricted")
-def priority_restricted(spark, sf):
-    """Priority without corridor and station, which give the rule away."""
-    ft = stored(features(spark, sf), "restricted")
-    cats = L.usable_categories(ft, S.PRIORITY_CATEGORICAL)
-    model = L.classifier("high")(cats, encoded=None).fit(ft)
-    return model.transform(ft).select("id", "high", L.probability("priority_p"))
+def priority_oof(spark, sf):
+    """Held-out scores of the restricted form."""
+    return label_models(spark, sf).held_out("priority restricted", "priority_p").withColumn("high", F.col("high").cast("int"))
 
 
-def priority_oof(spark, sf):
-    """Held-out scores of the restricted form; the cause is encoded, fold by fold, in place of the corridor."""
-    def held_out():
-        ft = stored(features(spark, sf), "restricted")
-        return L.out_of_fold(ft, "high", L.classifier("high"), "priority_p", encode="cause_cat",
-                             categories=L.usable_categories(ft, S.PRIORITY_CATEGORICAL))
-    return artefact(spark, sf, "priority-oof", held_out)
+@query("priority_restricted")
+def priority_restricted(spark, sf):
+    """Priority without corridor and station, which give the rule away; every row scored by a model that has not seen it."""
+    return priority_oof(spark, sf).select("id", "high", "priority_p")
 
 
 @query("priority_oof_auc")
@@ -315,9 +390,10 @@ def priority_oof_auc(spark, sf):
 
 @query("priority_calibration")
 def priority_calibration(spark, sf):
+    """Each held-out priority score calibrated by the other folds."""
     oof = priority_oof(spark, sf)
-    model = L.fit_isotonic(oof, "priority_p", "high")
-    return L.calibrate(oof, model, "priority_p", "calibrated_p").select("id", "high", "priority_p", "calibrated_p")
+    return K.apply(oof, K.fit_other_folds(oof, "priority_p", "high", S.N_FOLDS), "priority_p", "calibrated_p", F.col("fold")).select(
+        "id", "high", "priority_p", "calibrated_p")
 
 
 @query("closure_oof_quality")
@@ -328,9 +404,11 @@ def closure_oof_quality(spark, sf):
 
 
 def duration_oof(spark, sf):
-    return artefact(spark, sf, "duration-oof", lambda: L.out_of_fold(
-        L.log_durations(features(spark, sf)), "log_h", L.median_regressor("log_h"), "p50_log",
-        stratified=False, regression=True))
+    """Held-out quantiles of log hours, of rows with a usable duration."""
+    grown = duration_models(spark, sf)
+    p90 = grown.held_out("p90", "p90_raw").select("id", "p90_raw")
+    both = grown.held_out("p50", "p50_log").where("log_h is not null").join(p90, "id")
+    return both.withColumn("p90_log", F.greatest("p90_raw", "p50_log")).drop("p90_raw")
 
 
 @query("duration_p50")
@@ -340,44 +418,58 @@ def duration_p50(spark, sf):
 
 @query("duration_p90")
 def duration_p90(spark, sf):
-    oof = duration_oof(spark, sf)
-    return L.coverage(L.with_p90(oof, L.conformal_margin(oof, "p50_log"), "p50_log", L.overall_margin(oof, "p50_log")))
+    return L.coverage(duration_oof(spark, sf))
+
+
+@query("duration_pinball")
+def duration_pinball(spark, sf):
+    """Held-out quantile losses: the quantile models, and the median with each cause's margin from the other folds' residuals."""
+    oof = duration_oof(spark, sf).join(features(spark, sf).select("id", "cause_cat"), "id").persist()
+    dealt = oof.withColumn("g", F.explode(F.array(*[F.lit(f) for f in FOLDS]))).where("g != fold").withColumn("residual", F.col("log_h") - F.col("p50_log"))
+    margins = ranking.exact_quantiles(dealt, ["g", "cause_cat"], "residual", {"margin": 0.9}, 1e-4).withColumnRenamed("g", "fold")
+    both = oof.join(F.broadcast(margins), ["fold", "cause_cat"], "left").withColumn("conformal", F.col("p50_log") + F.coalesce("margin", F.lit(0.0)))
+    return both.agg(F.count("*").alias("n"), F.avg(L.pinball("log_h", "p50_log", 0.5)).alias("p50_loss"), F.avg(L.pinball("log_h", "p90_log", 0.9)).alias("p90_loss"),
+                    F.avg(L.pinball("log_h", "conformal", 0.9)).alias("conformal_p90_loss"))
+
+
+def importances(spark, grown, name):
+    return spark.createDataFrame(grown.importances(name), "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    return closure_fit(spark, sf).importances()
+    return importances(spark, label_models(spark, sf), "closure")
 
 
 @query("priority_importance")
 def priority_importance(spark, sf):
-    return priority_fit(spark, sf).importances()
+    return importances(spark, label_models(spark, sf), "priority")
 
 
 @query("duration_importance")
 def duration_importance(spark, sf):
-    return duration_fit(spark, sf).importances()
+    return importances(spark, duration_models(spark, sf), "p50")
 
 
 @query("top_features")
 def top_features(spark, sf):
-    top = closure_fit(spark, sf).importances().limit(12)
-    label = F.replace(F.replace("feature", F.lit("_"), F.lit(" ")), F.lit(" te"), F.lit(""))
+    top = feature_importance(spark, sf).limit(12)
+    label = F.replace(F.replace("feature", F.lit("_"), F.lit(" ")), F.lit(" cat"), F.lit(""))
     return top.select(label.alias("name"), F.round(F.col("importance") * 100, 2).alias("importance"))
 
 
 def predictions(spark, sf):
+    """The tuned closure model and the restricted priority model, both calibrated on held-out scores, and both duration quantiles."""
+    rows = training(spark, sf)
+    tuned, labels = tuned_models(spark, sf), label_models(spark, sf)
+    threshold = V.best_threshold(V.threshold_sweep(tuned_calibrated(spark, sf), "calibrated_p", "closure")).first().threshold
+    scored = labels.score(tuned.score(rows, {"tuned": "raw_closure"}), {"priority restricted": "raw_priority"})
+    scored = duration_models(spark, sf).score(scored.drop("fold"), {"p50": "p50_log", "p90": "p90_log"})
+    scored = K.apply(scored, K.fit(tuned.held_out("tuned", "p"), "p", "closure"), "raw_closure", "closure_p")
+    scored = K.apply(scored, K.fit(priority_oof(spark, sf), "priority_p", "high"), "raw_priority", "priority_p")
+    scored = scored.withColumn("p50_h", F.greatest(F.expm1("p50_log"), F.lit(0.0)))
+    scored = scored.withColumn("p90_h", F.greatest(F.expm1("p90_log"), F.col("p50_h")))
     ft = features(spark, sf)
-    oof = closure_oof(spark, sf)
-    calibrated = L.fit_isotonic(oof, "closure_p", "closure")
-    threshold = fitted_threshold(spark, sf)
-    scored = closure_fit(spark, sf).score(ft, "raw_p")
-    scored = L.calibrate(scored, calibrated, "raw_p", "closure_p")
-    scored = priority_fit(spark, sf).score(scored, "priority_p")
-    scored = duration_fit(spark, sf).score(scored, "p50_log")
-    held = duration_oof(spark, sf)
-    scored = L.with_p90(scored, L.conformal_margin(held, "p50_log"), "p50_log", L.overall_margin(held, "p50_log")).withColumns(
-        {"p50_h": F.greatest(F.expm1("p50_log"), F.lit(0.0)), "p90_h": F.greatest(F.expm1("p90_log"), F.lit(0.0))})
     medians = stats.cause_medians(ft)
     overall = stats.duration_quantiles(ft, {"m": 0.5}).scalar()
     log_p95 = stats.log_duration_p95(ft).scalar()
@@ -392,20 +484,20 @@ def predict_impact(spark, sf):
 @query("load_models")
 def load_models(spark, sf):
     """Scores of a priority model read back from its folder."""
-    return priority_fit(spark, sf).score(features(spark, sf), "priority_p").groupBy("corridor_cat").agg(
+    return label_models(spark, sf).score(training(spark, sf), {"priority": "priority_p"}).groupBy("corridor_cat").agg(
         F.count("*").alias("n"), F.round(F.avg("priority_p"), 6).alias("mean_p"))
 
 
 @query("save_models", "SELECT count(*) AS n, count(*) AS same FROM events")
 def save_models(spark, sf):
     """Save, load, and compare the scores of both on the whole table."""
-    fitted = closure_fit(spark, sf)
-    path = new_folder(spark, "closure-copy")
+    fitted = label_models(spark, sf)
+    path = new_folder(spark, "model-copy")
     fitted.save(path)
-    again = L.Fitted.load(spark, path)
-    ft = features(spark, sf)
-    a = fitted.score(ft, "p1").select("id", "p1")
-    b = again.score(ft, "p2").select("id", "p2")
+    again = boosting.Grown.load(spark, path)
+    rows = training(spark, sf)
+    a = fitted.score(rows, {"closure": "p1"}).select("id", "p1")
+    b = again.score(rows, {"closure": "p2"}).select("id", "p2")
     return a.join(b, "id").agg(F.count("*").alias("n"), F.count_if(F.col("p1") == F.col("p2")).alias("same"))
 
 

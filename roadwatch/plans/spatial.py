@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from roadwatch import settings as S
 from roadwatch.functions.columns import stable_round
-from roadwatch.operators import clusters as K, density as D, neighbours as N
+from roadwatch.operators import clusters as K, density as D, neighbours as N, ranking
 from roadwatch.plans.deployment import hav_sql
-from roadwatch.plans.registry import SPATIAL_SQL, artefact, on_spatial, query, spatial
+from roadwatch.plans.registry import SPATIAL_SQL, artefact, hash_sql, on_spatial, query, spatial
 from roadwatch.session import new_folder
 from roadwatch.sources import hotspots as H
 
@@ -45,6 +45,17 @@ def nearby_rate_without_self(spark, sf):
     return out.select("id", F.round("nearby_closure_rate", 9).alias("nearby_closure_rate"))
 
 
+@query("nearby_fold_rate", on_spatial(
+    f", fo AS (SELECT *, CAST({hash_sql('id', 42)} % 5 AS INTEGER) AS fold FROM sp), n AS (SELECT a.id, count(*) AS n, sum(b.closure) AS s FROM fo a JOIN fo b ON {_BAND} "
+    f"WHERE a.fold <> b.fold AND {_NEAR} <= 500 GROUP BY 1) SELECT fo.id, fo.fold, CAST(coalesce(n, 0) AS BIGINT) AS neighbours, CAST(coalesce(s, 0) AS BIGINT) AS closures FROM fo LEFT JOIN n USING (id)"))
+def nearby_fold_rate(spark, sf):
+    """Neighbours and closures within the radius, those of the row's own fold left out: the model feature's counts."""
+    rows = ranking.kfolds(spatial(spark, sf).select("id", "lat", "lon", "closure"))
+    out = N.nearby_fold_counts(rows, "closure", S.N_FOLDS, "n", "s")
+    others = {c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x) - F.get(c, F.col("fold")) for c in ("n", "s")}
+    return out.select("id", "fold", others["n"].alias("neighbours"), others["s"].alias("closures"))
+
+
 @query("eps_pairs", on_spatial(
     f" SELECT a.id, count(*) AS neighbours FROM sp a JOIN sp b ON {_BAND} WHERE {_NEAR} <= 500 GROUP BY 1"))
 def eps_pairs(spark, sf):
