@@ -39,33 +39,69 @@ _MERGED = 1 << 62
 _RARE = re.compile("[\x1c-\x1f̀-\U0010ffff]")
 
 
+#: words that are asked for in one text
+JOINED = 256
+_MARKS = ".,;:!?"
+
+
 class WordTokenizer:
-    """Ids by the tokenizers library, asked once per white-space separated word while the worker's cache holds it."""
+    """Ids by the tokenizers library, asked once per white-space separated word while the worker's cache holds it.
+
+    The library splits words into runs of letters, digits and other characters and encodes each run alone, so a word of letters
+    with marks behind it is the letters' ids and the marks' ids. Letters are asked for many words at a time: their
+    last token, and no other, is one that ends a run.
+    """
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.words = Cache()
+        self.words, self.letters = Cache(), Cache()
         self.end = np.array([end_id], np.uint32).tobytes()
+        self.closes = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.closes[[i for t, i in self.tokenizer.get_vocab(False).items() if t.endswith("</w>")]] = True
+        # added tokens are found before case is folded, so texts with such a token in any case are not folded here
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or "(?!)", re.IGNORECASE)
 
-    def _words(self, words: list[str]) -> list[bytes]:
+    def _each(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, np.uint32).tobytes() for e in found]
 
-    @staticmethod
-    def split(text: str) -> list[str]:
+    def _runs(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters."""
+        out = []
+        groups = [words[i:i + JOINED] for i in range(0, len(words), JOINED)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, np.uint32)
+            cuts = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+            if len(cuts) == len(group) and cuts[-1] == ids.size:
+                data, starts = ids.tobytes(), [0, *cuts]
+                out += [data[4 * a:4 * b] for a, b in zip(starts, cuts)]
+            else:       # letters that fold into more than letters
+                out += self._each(group)
+        return out
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        stems = [w.rstrip(_MARKS) for w in words]
+        plain = [s.isalpha() and (s.isascii() or s.lower().isalpha() and not _RARE.search(s)) for s in stems]
+        runs = self.letters.fill({s for s, p in zip(stems, plain) if p}, self._runs)
+        rest = {w if not p else w[len(s):] for w, s, p in zip(words, stems, plain)} - {""}
+        other = dict(zip(rest, self._each(list(rest))))
+        other[""] = b""
+        return [runs[s] + other[w[len(s):]] if p else other[w] for w, s, p in zip(words, stems, plain)]
+
+    def split(self, text: str) -> list[str]:
         """The vocabulary folds case and drops white space, so words are independent. Below U+0300 nothing composes,
         and folding first saves entries; other texts are left to the library's own folding."""
-        if _RARE.search(text):
+        if _RARE.search(text) or self.added.search(text):
             return [w.decode() for w in text.encode("utf-8", "replace").split()]
         return text.lower().split()
 
     def encode(self, batch: list[str | None]) -> list[np.ndarray]:
         parts = [self.split(t or "") for t in batch]
-        known = self.words.fill({w for p in parts for w in p}, self._words)
+        known = self.words.fill(set().union(*parts), self._words)
         return [np.frombuffer(b"".join([*map(known.__getitem__, p), self.end]), np.uint32) for p in parts]
 
 

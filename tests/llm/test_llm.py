@@ -27,7 +27,7 @@ ROWS = [
     (8, ("word%d " * 4000) % tuple(range(4000))), (9, "head of nine " + PASSAGE + " tail"), (9, "head of nine " + PASSAGE + " tail"),
     (10, BLOCK), (11, "own start\n" + BLOCK + "\nown end"), (12, "é漢字😀 Σσς İ J̌ \x1c\x85 x\r\ny  z\n\n\nend "),
     (13, "Released under the MIT License.\nThen text, the Apache License and the GNU General Public License."),
-    (14, "It " * 300), (15, "sym### bol$$$ " * 40), (16, "A b C d e F g. " * 3 + "unique ending here"),
+    (14, "It " * 300), (19, "a <|endoftext|> b<|startoftext|> <|EndOfText|>"), (15, "sym### bol$$$ " * 40), (16, "A b C d e F g. " * 3 + "unique ending here"),
     (17, "tie of words one two three four five six seven"), (18, "tie of words one two three four five six seven"),
 ]
 
@@ -211,12 +211,25 @@ def test_bpe(odd, none):
 
 # ---------------------------------------------------------------- 6
 
+def test_word_tokenizer_equals_the_library():
+    from tokenizers import Tokenizer
+
+    path, rng = P.path(queries.TOKENIZER), random.Random(1)
+    library, own = Tokenizer.from_file(path), packing.WordTokenizer(path, 1)
+    letters = "aAbBzZéÉİıßǅǆſ²½Ⅷªº'’sStT.,;:!?#$ \t\n\x1c\x85　\u0301\u0307中Ωσς0123_<|>"
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y", "<|ENDOFTEXT|> A", "<|endoftext|>, <|startoftext|>.", "İ? é́! it's THE end..."]
+    for _ in range(3000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 30)))
+        texts.append(text + rng.choice([*texts[:4], *[""] * 12]))
+    assert [ids.tolist() for ids in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    assert library.encode(texts[0], add_special_tokens=False).ids[1] == 49407
+
+
 def test_packing(odd, none):
     from tokenizers import Tokenizer
 
     path = P.path(queries.TOKENIZER)
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     rows = packing.pack(odd, path, keep_ids=True).collect()
     want = collections.Counter((i, tuple(tokenizer.encode(t or "", add_special_tokens=False).ids + [1])) for i, t in ROWS)
     sequences = collections.defaultdict(list)
