@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from roadwatch import settings as S
 from roadwatch.functions.columns import portable_hash
@@ -172,6 +172,58 @@ def forest_detect(counts: DataFrame, leaves: DataFrame, offset: Column) -> DataF
     )
 
 
+# ------------------------------------------------------------ request batches
+def request_problem(corridor: str = "corridor", hour: str = "hour", count: str = "event_count") -> Column:
+    """Why a request cannot be scored; null for a valid one. Values that are no numbers count as missing."""
+    h, n = F.expr(f"try_cast({hour} AS double)"), F.expr(f"try_cast({count} AS double)")
+    return (F.when(F.coalesce(F.trim(F.col(corridor)), F.lit("")) == "", "corridor is missing")
+            .when(h.isNull() | (h < 0) | (h > 23) | (h != F.floor(h)), "hour is not a whole number from 0 to 23")
+            .when(n.isNull() | (n < 0) | (n != F.floor(n)), "event_count is not a whole number from 0"))
+
+
+def split_requests(batch: DataFrame, seen: Observation | None = None) -> tuple[DataFrame, DataFrame]:
+    """(valid rows with hour and event_count as numbers, refused rows with ``problem``); every row is in exactly one.
+
+    ``seen`` counts both while the batch is read: observe it through either output.
+    """
+    judged = batch.withColumn("problem", request_problem())
+    if seen is not None:
+        judged = judged.observe(seen, F.count("*").alias("requests"), F.count("problem").alias("refused"))
+    valid = judged.where("problem IS NULL").drop("problem").withColumns(
+        {c: F.expr(f"try_cast({c} AS double)").cast(kind) for c, kind in (("hour", "int"), ("event_count", "long"))})
+    return valid, judged.where("problem IS NOT NULL")
+
+
+class ForestTable:
+    """The forest as two arrays in order of the count: what a stream needs to score a count inside its query.
+
+    Counts are whole numbers, so steps between two of them are one; the arrays are bounded by trees x 2 x sample.
+    """
+
+    def __init__(self, leaves: DataFrame, offset: float):
+        steps = forest_steps(leaves).select("x", "step.mean_path", "step.sample_size").orderBy("x").collect()
+        last: dict[float, float] = {}
+        for x, mean, size in steps:
+            norm = 2.0 * (math.log(size - 1.0) + float(np.euler_gamma)) - 2.0 * (size - 1.0) / size if size > 2 else 1.0
+            last[max(float(math.floor(x)), -1.0) if math.isfinite(x) else -1.0] = round(-(2.0 ** (-mean / norm)), 12)
+        self.limits, self.scores, self.offset = list(last), list(last.values()), offset
+
+    def score(self, count: Column) -> Column:
+        """Score of the last step below the count, found by halving."""
+        limits, scores = F.array(*map(F.lit, self.limits)), F.array(*map(F.lit, self.scores))
+        bits = max(1, len(self.limits)).bit_length()
+        halves = F.array(*[F.lit(1 << b) for b in reversed(range(bits))])
+        below = F.aggregate(halves, F.lit(0), lambda at, half: F.when(F.get(limits, at + half - 1) < count, at + half).otherwise(at))
+        return F.get(scores, below - 1)
+
+    def flag(self, counts: DataFrame) -> DataFrame:
+        """Add ``is_anomaly`` and ``confidence`` as the batch does; no join and no state, so a stream may use it."""
+        n = F.coalesce("event_count", F.lit(0))
+        decision = self.score(n.cast("double")) - F.lit(self.offset)
+        return counts.withColumn("event_count", n).withColumn("is_anomaly", decision < 0).withColumn(
+            "confidence", F.round(F.least(F.greatest(0.5 - decision, F.lit(0.0)), F.lit(1.0)), 4))
+
+
 def anomaly_summary(flagged: DataFrame) -> DataFrame:
     return flagged.agg(
         F.count("*").alias("total_points"), F.count_if("is_anomaly").alias("anomaly_count"),

@@ -85,13 +85,11 @@ def dbscan(df: DataFrame, eps: float = S.EPS_METRES, min_samples: int = S.MIN_SA
 
 
 def _id_bucket(df: DataFrame, key: str):
-    """A bucket that grows with the id: a range slice for numbers, a slice between sampled ids for text."""
-    if df.schema[key].dataType.typeName() == "string":
-        sample = df.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key)).limit(256).collect()
-        limits = sorted({r[0] for r in sample}, key=str.encode)
-        return F.size(F.filter(F.array(*map(F.lit, limits)).cast("array<string>"), lambda x: x <= F.col(key))).cast("long")
-    top = df.agg(F.greatest(F.max(F.abs(F.col(key).cast("double"))), F.lit(1.0))).scalar()
-    return F.floor(F.col(key) / top * 1024).cast("long")
+    """A bucket that grows with the id: its place among sampled ids, so dense stretches far from zero are spread too."""
+    kind = df.schema[key].dataType
+    sample = df.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key)).limit(256).collect()
+    limits = sorted({r[0] for r in sample}, key=str.encode if kind.typeName() == "string" else None)
+    return F.size(F.filter(F.array(*map(F.lit, limits)).cast(f"array<{kind.simpleString()}>"), lambda x: x <= F.col(key))).cast("long")
 
 
 def with_time_slice(df: DataFrame) -> DataFrame:

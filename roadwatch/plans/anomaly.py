@@ -64,14 +64,48 @@ def anomaly_summary(spark, sf):
     return A.anomaly_summary(quantile_spikes_per_day(spark, sf))
 
 
-@query("score_request_batch", spike_sql("based").replace(
-    "SELECT live.*,", "SELECT corridor, hour, event_count,").replace("FROM live,", "FROM (SELECT corridor, hour, sum(event_count)::BIGINT AS event_count FROM live GROUP BY 1, 2) live,"))
+#: whole-period totals as requests; some are spoilt in every way that is refused: by corridor, hour and count
+_REQUESTS = (", req AS (SELECT CASE WHEN hour = 3 THEN NULL WHEN hour = 4 THEN '  ' ELSE corridor END AS corridor, "
+             "CASE WHEN hour = 5 THEN '24' WHEN hour = 6 THEN '-1' WHEN hour = 7 THEN 'noon' WHEN hour = 8 THEN '8.5' ELSE CAST(hour AS VARCHAR) END AS hour, "
+             "CASE WHEN hour = 9 THEN '-' || CAST(n AS VARCHAR) WHEN hour = 10 THEN NULL WHEN hour = 11 THEN CAST(n AS VARCHAR) || '.0' ELSE CAST(n AS VARCHAR) END AS event_count "
+             "FROM (SELECT corridor, hour, CAST(sum(event_count) AS BIGINT) AS n FROM live GROUP BY 1, 2)), "
+             "judged AS (SELECT *, CASE WHEN coalesce(trim(corridor), '') = '' THEN 'corridor is missing' "
+             "WHEN TRY_CAST(hour AS DOUBLE) IS NULL OR TRY_CAST(hour AS DOUBLE) NOT BETWEEN 0 AND 23 OR TRY_CAST(hour AS DOUBLE) <> floor(TRY_CAST(hour AS DOUBLE)) "
+             "THEN 'hour is not a whole number from 0 to 23' "
+             "WHEN TRY_CAST(event_count AS DOUBLE) IS NULL OR TRY_CAST(event_count AS DOUBLE) < 0 THEN 'event_count is not a whole number from 0' END AS problem FROM req)")
+
+
+def requests(spark, sf):
+    """A request batch as text columns, part of it invalid."""
+    total = counts(spark, sf)[1].groupBy("corridor", "hour").agg(F.sum("event_count").alias("n"))
+    hour, n = F.col("hour"), F.col("n").cast("string")
+    return total.select(
+        F.when(hour == 3, None).when(hour == 4, "  ").otherwise(F.col("corridor")).alias("corridor"),
+        F.when(hour == 5, "24").when(hour == 6, "-1").when(hour == 7, "noon").when(hour == 8, "8.5").otherwise(hour.cast("string")).alias("hour"),
+        F.when(hour == 9, F.concat(F.lit("-"), n)).when(hour == 10, None).when(hour == 11, F.concat(n, F.lit(".0"))).otherwise(n).alias("event_count"))
+
+
+@query("score_request_batch", on_parts("").rstrip() + _REQUESTS + " SELECT corridor, CAST(CAST(hour AS DOUBLE) AS INTEGER) AS hour, CAST(CAST(event_count AS DOUBLE) AS BIGINT) AS event_count, "
+       "CAST(event_count AS DOUBLE) < lo OR CAST(event_count AS DOUBLE) > hi AS is_anomaly "
+       "FROM judged, (SELECT quantile_cont(event_count, 0.025) AS lo, quantile_cont(event_count, 0.975) AS hi FROM based) WHERE problem IS NULL")
 def score_request_batch(spark, sf):
-    """Any table with corridor, hour and event_count can be scored; here whole-period totals."""
+    """Any table with corridor, hour and event_count can be scored; here whole-period totals, the invalid ones left out."""
     base = A.baseline_counts(incidents(spark, sf), DAYS, per_day=True)
-    batch = counts(spark, sf)[1].groupBy("corridor", "hour").agg(F.sum("event_count").alias("event_count"))
-    valid = batch.filter(F.col("hour").between(0, 23) & (F.col("event_count") >= 0))
-    return A.quantile_spikes(valid, A.spike_bounds(base))
+    return A.quantile_spikes(A.split_requests(requests(spark, sf))[0], A.spike_bounds(base))
+
+
+@query("refused_requests", on_parts("").rstrip() + _REQUESTS + " SELECT * FROM judged WHERE problem IS NOT NULL")
+def refused_requests(spark, sf):
+    """The rest of the batch, each row with the reason."""
+    return A.split_requests(requests(spark, sf))[1]
+
+
+@query("score_request_forest")
+def score_request_forest(spark, sf):
+    """The valid requests with the forest's verdict and confidence."""
+    base = counts(spark, sf)[0]
+    fitted = leaves(spark, sf)
+    return A.forest_detect(A.split_requests(requests(spark, sf))[0], fitted, A.forest_offset(base, fitted))
 
 
 def leaves(spark, sf):
@@ -187,6 +221,14 @@ def stream_spikes(spark, sf):
     return _sink(spark, T.spikes(live_hours(spark, sf), lo, hi), "spikes")
 
 
+@query("stream_forest_flags")
+def stream_forest_flags(spark, sf):
+    """Hourly counts of the live part scored by the forest inside the stream; the same verdicts as ``isolation_forest_score``."""
+    base, fitted = counts(spark, sf)[0], leaves(spark, sf)
+    table = A.ForestTable(fitted, base.agg(F.lit(1)).select(A.forest_offset(base, fitted)).first()[0])
+    return _sink(spark, table.flag(live_hours(spark, sf)), "forest-flags")
+
+
 @query("stream_accuracy_log", on_incidents(_LIVE_PVA + " SELECT count(*) AS n, round(avg(CAST(predicted_closure = actual_closure AS INTEGER)), 6) AS closure_accuracy, "
        "round(avg(CAST(predicted_priority = actual_priority AS INTEGER)), 6) AS priority_accuracy, CAST(NULL AS DOUBLE) AS duration_mae FROM log").replace(") , cut", "), cut"))
 def stream_accuracy_log(spark, sf):

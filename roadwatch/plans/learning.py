@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from roadwatch import settings as S
 from roadwatch.functions import columns as C
-from roadwatch.operators import anchors, boosting, calibration as K, encoding as enc, evaluation as V, learning as L, neighbours as N, ranking, stats
+from roadwatch.operators import anchors, boosting, calibration as K, encoding as enc, evaluation as V, learning as L, neighbours as N, ranking, rules, stats
 from roadwatch.plans import corridors, deployment as dep, spatial as geo
 from roadwatch.plans.registry import FEATURES_SQL, artefact, features, hash_sql, incidents, on_features, query, spatial
 from roadwatch.session import new_folder
-from roadwatch.sources import documents as D
+from roadwatch.sources import collections, documents as D
 
 # ---------------------------------------------------------------------- folds
 _HASHED = f", hf AS (SELECT *, {hash_sql('id', 42)} AS h FROM ft)"
@@ -548,3 +548,34 @@ def export_plans(spark, sf):
         "incident_id", F.col("engine_impact_score").cast("int").alias("impact_score"),
         F.col("engine_recommended_officers").cast("int").alias("recommended_officers"),
         F.col("engine_recommended_barricades").cast("int").alias("recommended_barricades"))
+
+
+@query("export_set", dep.rules_sql(
+    "SELECT 'plans' AS document, count(*) AS entries, CAST(sum(recommended_officers) AS BIGINT) AS officers FROM pl "
+    "UNION ALL SELECT 'comparisons', count(*), CAST(sum(recommended_officers) AS BIGINT) FROM (SELECT recommended_officers FROM pl "
+    "WHERE id IN (SELECT id FROM incidents WHERE assigned_to_police_id IS NOT NULL) ORDER BY id LIMIT 20) "
+    "UNION ALL SELECT 'templates', 16, NULL UNION ALL SELECT 'validation', 1, NULL"))
+def export_set(spark, sf):
+    """The whole export: every plan, the first comparisons, the decision table and the validation summary, each a JSON document
+    written in parallel, read back with its entries counted."""
+    inc, risk = incidents(spark, sf), corridors.risk(spark, sf)
+    report = anchors.anchor_comparison(inc, risk)
+    plans = rules.recommend_batch(dep.impact(spark, sf), risk).withColumn("_at", F.expr("try_cast(incident_id AS bigint)"))
+    first = report.withColumn("_at", F.expr("try_cast(incident_id AS bigint)")).orderBy("_at", "incident_id").limit(20)
+    summary = anchors.validation_summary(report)
+    tables = {"plans": (plans, ["_at", "incident_id"]), "comparisons": (first, ["_at", "incident_id"]),
+              "templates": (rules.all_templates(spark), ["template_cause"]), "validation": (summary, ["n_cases"])}
+    made = []
+    for name, (table, order) in tables.items():
+        path = new_folder(spark, f"export-{name}")
+        ends = spark.createDataFrame([(f'{{"document":"{name}","entries":[', '],"complete":true}')], "head string, tail string")
+        fields = F.struct(*[F.col(c) for c in table.columns if c != "_at"])
+        written = collections.write_document(table, F.to_json(fields), order, path, ends)
+        officers = {"plans": "recommended_officers", "comparisons": "engine_recommended_officers"}.get(name)
+        entries = collections.read_entries(spark, path, f"{officers or '_none'} int")
+        total = F.sum(f"entry.{officers}") if officers else F.lit(None)
+        made.append(entries.agg(F.lit(name).alias("document"), F.count("*").alias("entries"), total.cast("bigint").alias("officers"), F.lit(written).alias("written")))
+    out = made[0]
+    for other in made[1:]:
+        out = out.unionByName(other)
+    return out.where("entries = written").drop("written")

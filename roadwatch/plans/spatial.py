@@ -14,6 +14,7 @@ from roadwatch.plans.deployment import hav_sql
 from roadwatch.plans.registry import SPATIAL_SQL, artefact, hash_sql, on_spatial, query, spatial
 from roadwatch.session import new_folder
 from roadwatch.sources import hotspots as H
+from roadwatch.sources.collections import read_entries, read_tails
 
 _NEAR = hav_sql("a.lat", "a.lon", "b.lat", "b.lon")
 _BAND = "b.lat BETWEEN a.lat - 0.0046 AND a.lat + 0.0046 AND b.lon BETWEEN a.lon - 0.0048 AND a.lon + 0.0048"
@@ -245,12 +246,10 @@ def nearest_one(spark, sf):
  (SELECT count(*) FROM cl WHERE cluster_id < 0) AS n_noise FROM st""")
 def write_hotspots_geojson(spark, sf):
     stats, rows = cluster_table(spark, sf), clustered(spark, sf)
-    features = H.point_features(stats, eps_metres=S.EPS_METRES)
-    lines, whole = new_folder(spark, "hotspot-lines"), new_folder(spark, "hotspots")
-    H.write_feature_lines(features, lines)
-    H.feature_collection(stats, K.cluster_counts(rows), features).write.json(whole)
-    noise = spark.read.json(whole).select("metadata.n_noise").scalar()
-    f = H.read_feature_lines(spark, lines)
+    path = new_folder(spark, "hotspots")
+    H.write_collections(stats, K.cluster_counts(rows).select("n_clusters", "n_noise"), path, eps_metres=S.EPS_METRES)
+    noise = read_tails(spark, path, H.METADATA, "metadata").select("metadata.n_noise").scalar()
+    f = read_entries(spark, path, H.FEATURE).select("entry.*")
     return f.select("properties.cluster_id", "properties.event_count", F.col("geometry.coordinates")[0].alias("x"),
                     F.col("geometry.coordinates")[1].alias("y"), "properties.risk_level",
                     F.col("geometry.type").alias("shape"), noise.alias("n_noise"))
@@ -294,6 +293,22 @@ def union_slices(spark, sf):
     return both.groupBy("time_slice").agg(F.count("*").alias("clusters"), F.sum("size").alias("rows_in_clusters"))
 
 
+@query("write_hotspot_slices", TSTATS_SQL + """ SELECT ts.time_slice, cluster_id, size AS event_count, risk_level, n_clusters,
+ (SELECT count(*) FROM src WHERE src.time_slice = ts.time_slice) - total AS n_noise
+ FROM ts JOIN (SELECT time_slice, count(*) AS n_clusters, CAST(sum(size) AS BIGINT) AS total FROM ts GROUP BY 1) USING (time_slice)""")
+def write_hotspot_slices(spark, sf):
+    """One FeatureCollection per time slice, written side by side and read back with the figures of its tail."""
+    path = new_folder(spark, "hotspot-slices")
+    rows = sliced(spark, sf)
+    counts = rows.groupBy("time_slice").agg(F.countDistinct(F.when(F.col("cluster_id") >= 0, F.col("cluster_id"))).alias("n_clusters"),
+                                            F.count_if(F.col("cluster_id") < 0).alias("n_noise"))
+    stats = K.temporal_cluster_stats(rows).withColumnsRenamed({"lat": "centroid_lat", "lon": "centroid_lon"})
+    H.write_collections(stats, counts, path, by="time_slice")
+    tails = read_tails(spark, path, H.METADATA, "metadata").select("time_slice", "metadata.n_clusters", "metadata.n_noise")
+    found = read_entries(spark, path, H.FEATURE).select("time_slice", "entry.properties.cluster_id", "entry.properties.event_count", "entry.properties.risk_level")
+    return found.join(F.broadcast(tails), "time_slice")
+
+
 @query("write_dynamic_hotspots", TSTATS_SQL + " SELECT time_slice, cluster_id, size, risk_level FROM ts")
 def write_dynamic_hotspots(spark, sf):
     path = new_folder(spark, "dynamic-hotspots")
