@@ -52,6 +52,9 @@ class PerfectHash:
     """Minimal perfect hash of distinct byte strings: one displacement per bucket, every slot taken once."""
 
     def __init__(self, keys: list[bytes]):
+        """Empty keys, the gaps of a rank file, are not held."""
+        filled = [i for i, key in enumerate(keys) if key]
+        keys, numbers = [keys[i] for i in filled], filled
         self.n = max(1, len(keys))
         self.buckets = max(1, len(keys) // 4)
         groups: dict[int, list[tuple[int, int]]] = {}
@@ -78,6 +81,7 @@ class PerfectHash:
             for s, (_, i) in zip(slots, members):
                 taken[s], self.ids[s] = 1, i
         self.keys = [keys[i] if i >= 0 else None for i in self.ids]
+        self.ids = [numbers[i] if i >= 0 else -1 for i in self.ids]
 
     def get(self, key: bytes) -> int:
         """The key's number, or -1 for a key that isn't held."""
@@ -121,6 +125,15 @@ def stretches(text: str) -> list[str] | None:
     return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
 
+def _cuttable(pattern: str) -> bool:
+    """Whether ``stretches`` holds: it is known of the public vocabulary's pattern; texts are matched whole by any other."""
+    try:
+        import public_tokenizers
+    except ImportError:
+        return False
+    return pattern == public_tokenizers.PATTERN
+
+
 class Encoder:
     """Ids of texts by vocabulary and pre-token pattern."""
 
@@ -128,6 +141,7 @@ class Encoder:
         self.tokens = tokens
         self.table = table or PerfectHash(tokens)
         self.findall = regex.compile(pattern).findall
+        self.cut = _cuttable(pattern)
         self.pieces = Cache(MERGED)
         self.stretched = Cache(MERGED)
         #: ranks of all pairs of bytes, with which every merge begins
@@ -181,7 +195,7 @@ class Encoder:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
-        parts = stretches(text)
+        parts = stretches(text) if self.cut else None
         if parts is None:
             return np.frombuffer(self._join(text), np.uint32)
         known = self.stretched.fill(parts, lambda missing: [self._join(p) for p in missing])

@@ -19,7 +19,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadwatch.llm.common import bind, free_name
+from roadwatch.llm.common import bind, free_name, texts
 from roadwatch.session import stored
 
 #: labelled rows that training may use at most: those with the smallest hash of their id
@@ -106,7 +106,9 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAINING)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")   # MAX_TRAINING rows of 16 bytes
+    rows = texts(docs).join(F.broadcast(sample), "doc_id")   # MAX_TRAINING rows of 16 bytes
+    # an id with several rows trains with one of them, that of the smallest text hash
+    rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64(F.coalesce("text", F.lit("")))).alias("text"))
     return rows.select("doc_id", "label", statistics(F.col("text")).alias("stats"))
 
 

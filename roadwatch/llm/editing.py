@@ -13,6 +13,7 @@ are not read; an empty table gives an empty result, a single document is its own
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 from hashlib import sha256
 
@@ -30,8 +31,8 @@ SLOTS = 128
 SEED = 7
 #: documents of one bucket of the order, and most buckets (rows of the broadcast table of their first documents)
 BUCKET_ROWS, MAX_BUCKETS = 1_000, 20_000
-#: ranges of ids whose limits are taken from the data; buckets divide each range evenly
-RANGES = 64
+#: sampled keys for each limit between buckets
+OVER = 16
 #: characters embedded at once
 CHARS = 6 << 20
 _BLOCK, _END, _CLASSES = 256, 64, 65
@@ -150,35 +151,45 @@ def _strings(prints: np.ndarray) -> list[str]:
     return [row.tobytes().decode() for row in _DIGITS[prints]]
 
 
+def _place(limits, key, count: int):
+    """How many of ``count`` ascending limits are at most the key, by halving."""
+    halves = F.array(*[F.lit(1 << b) for b in reversed(range(max(1, count.bit_length())))])
+    return F.aggregate(halves, F.lit(0), lambda at, half: F.when(F.get(limits, at + half - 1) <= key, at + half).otherwise(at))
+
+
+def _bucketed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, rk, tk, bucket): buckets of about BUCKET_ROWS rows in the order of (doc_id, text hash, row hash), nulls first.
+
+    Limits are every OVER-th key of a hash sample, so clustered, null and equal ids of any type fill buckets evenly; only rows equal
+    in id and text stay together.
+    """
+    rows = keyed(docs)
+    count = max(1, min(MAX_BUCKETS, rows.count() // BUCKET_ROWS)) - 1
+    if not count:
+        return rows.withColumn("bucket", F.lit(0))
+    key = F.struct("doc_id", "tk", "rk")
+    sample = rows.select(key.alias("key")).orderBy(F.xxhash64("key"), "key").limit((count + 1) * OVER - 1)
+    nth = F.row_number().over(Window.orderBy("key"))      # a bounded sample
+    found = sample.withColumn("n", nth).where(F.col("n") % OVER == 0).orderBy("n").select("key.*").collect()      # MAX_BUCKETS at most
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    # one literal: as many expressions as limits would be a plan too large to compile
+    limits = F.from_json(F.lit(json.dumps([r.asDict() for r in found])), f"array<struct<doc_id:{kind},tk:bigint,rk:bigint>>")
+    return rows.withColumn("bucket", _place(limits, key, len(found)))
+
+
 def _order(docs: DataFrame) -> DataFrame:
     """Rows of all documents by bucket, each bucket followed by a copy of the first document of the next one (tail = 1)."""
-    rows = keyed(docs)
-    low, high, total = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = low or 0, high or 0
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(low - 1))
-    buckets = max(1, min(MAX_BUCKETS, total // BUCKET_ROWS))
-    ranges = min(RANGES, buckets)
-    within = -(-buckets // ranges)
-    limits = rows.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).first()[0] or [low]
-    limits = [low - 1, *sorted({x for x in limits if x >= low}), high + 1]
-
-    def pick(a: int, b: int):   # a balanced tree of comparisons
-        if b - a == 1:
-            return (F.lit(a * within) + F.floor((key - limits[a]) * float(within) / max(1, limits[b] - limits[a]))).cast("long")
-        mid = (a + b) // 2
-        return F.when(key < limits[mid], pick(a, mid)).otherwise(pick(mid, b))
-
-    rows = rows.select("doc_id", "text", key.alias("k"), "tk", pick(0, len(limits) - 1).alias("bucket"))
-    heads = rows.groupBy("bucket").agg(F.min(F.struct("k", "tk")).alias("head"))
+    rows = _bucketed(docs)
+    heads = rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "tk", "rk")).alias("head"))
     every = Window.orderBy("bucket")   # one row per bucket, MAX_BUCKETS at most
-    heads = heads.select("head.*", "bucket", F.lag("bucket").over(every).alias("before"), F.max("bucket").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("last"))
-    heads = heads.select("k", "tk", "bucket", F.coalesce("before", "last").alias("before"))
-    both = rows.join(F.broadcast(heads), ["k", "tk", "bucket"], "left")
+    heads = heads.select("head.tk", "head.rk", "bucket", F.lag("bucket").over(every).alias("before"), F.max("bucket").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("last"))
+    heads = heads.select("tk", "rk", "bucket", F.coalesce("before", "last").alias("before"))
+    both = rows.join(F.broadcast(heads), ["tk", "rk", "bucket"], "left")
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("tail"))
     copy = F.struct(F.col("before").alias("bucket"), F.lit(1).alias("tail"))
     target = F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, copy)))
-    both = both.select("doc_id", "text", "k", "tk", target.alias("t")).select("doc_id", "text", "k", "tk", "t.bucket", "t.tail")
-    return both.repartition("bucket").sortWithinPartitions("bucket", "tail", "k", "tk").select("doc_id", "text", "bucket", "tail")
+    both = both.select("doc_id", "text", "tk", "rk", target.alias("t")).select("doc_id", "text", "tk", "rk", "t.bucket", "t.tail")
+    return both.repartition("bucket").sortWithinPartitions("bucket", "tail", "doc_id", "tk", "rk").select("doc_id", "text", "bucket", "tail")
 
 
 def _edit(text: str, following: str) -> str:

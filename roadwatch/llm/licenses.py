@@ -11,6 +11,7 @@ tables are passed through. Very long texts are streamed in whole.
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -170,9 +171,10 @@ class Scanner:
         return out
 
     def _chain(self, hits: list[tuple[int, int, int]], out: Scan) -> None:
-        """Best chain per template: matches in the order of the text, each as the longest continuation of an earlier one."""
+        """All chains that cover enough: matches in the order of the text, each as the longest continuation of an earlier one.
+        Of chains of one template that share words of the text the one that covers most counts, the earlier on a tie."""
         chains: dict[int, list[tuple[int, int, int, int]]] = {}   # template -> (last text word, last template word, covered, first text word)
-        best: dict[int, tuple[int, int, int]] = {}
+        ended: dict[int, dict[int, tuple[int, int]]] = {}   # template -> first text word -> (covered, last text word)
         for end, length, state in hits:
             for k, stop in self.auto.ends[state]:
                 if k >= len(self.labels):
@@ -185,13 +187,20 @@ class Scanner:
                     if overlap < length and t_first - t_end <= MAX_GAP + 1 and end > d_end and stop > t_end and covered + length - overlap > made[2]:
                         made = (end, stop, covered + length - overlap, begin)
                 chains[k] = [*open_, made]
-                if made[2] > best.get(k, (0,))[0]:
-                    best[k] = (made[2], made[3], end)
-        for k, (covered, first, last) in best.items():
-            share = min(1.0, covered / self.sizes[k])
-            out.score = max(out.score, share)
-            if share >= MIN_COVERED:
-                out.spans.append((self.labels[k], first, last, share))
+                at = ended.setdefault(k, {})
+                if made[2] > at.get(made[3], (0,))[0]:
+                    at[made[3]] = (made[2], end)
+        for k, found in ended.items():
+            out.score = max(out.score, min(1.0, max(c for c, _ in found.values()) / self.sizes[k]))
+            taken: list[tuple[int, int]] = []       # disjoint, by first word
+            for first, (covered, last) in sorted(found.items(), key=lambda x: (-x[1][0], x[0])):
+                share = min(1.0, covered / self.sizes[k])
+                if share < MIN_COVERED:
+                    break
+                i = bisect.bisect_left(taken, (first, last))
+                if (i == 0 or taken[i - 1][1] < first) and (i == len(taken) or taken[i][0] > last):
+                    taken.insert(i, (first, last))
+                    out.spans.append((self.labels[k], first, last, share))
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None) -> DataFrame:
