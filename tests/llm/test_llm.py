@@ -167,6 +167,71 @@ def test_line_dedup_edges(odd, none):
     assert sorted(r.text or "" for r in clean.collect()) == sorted(r.text for r in lines.dedup(odd).collect())
 
 
+def brute_lines(docs):
+    """Texts without the chunks that stand at an earlier place, for (id, text) in order of id."""
+    seen, out = set(), []
+    for _, text in docs:
+        all_, lost = (text or "").split("\n"), set()
+        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in all_]
+        kinds = [(x % lines._PRIME * lines._FACTOR + y) % lines._PRIME % lines.SPREAD for x, y in zip(h, h[1:])]
+        starts = [i for i in range(len(kinds)) if not i or kinds[i] != kinds[i - 1]]
+        for a, b in zip(starts, [*starts[1:], len(kinds)]):
+            body = tuple(all_[a:b + 1])
+            if re.search(r"[^\x20\x09-\x0D]", "\n".join(body)):
+                lost |= set(range(a, b + 1)) if body in seen else set()
+                seen.add(body)
+        out.append("\n".join(x for i, x in enumerate(all_) if i not in lost))
+    return out
+
+
+def repeated_runs(docs):
+    """Per text, the lines in runs of two or more lines whose pairs all stand in an earlier text: a definition without hashes."""
+    seen, out = set(), []
+    for _, text in docs:
+        all_ = (text or "").split("\n")
+        pairs = list(zip(all_, all_[1:]))
+        out.append({j for i, p in enumerate(pairs) if p in seen for j in (i, i + 1)})
+        seen.update(pairs)
+    return out
+
+
+def test_line_dedup_brute_force(spark):
+    """Random documents of few lines: the operator equals plain Python, finds repeated runs whatever their length and keeps
+    every distinct line somewhere."""
+    rng = random.Random(11)
+    pool = [f"line {i}" for i in range(60)]
+    blocks = [[f"block {b} line {i}" for i in range(rng.randrange(2, 9))] for b in range(40)]
+    docs = []
+    for d in range(300):
+        own = [f"own {d} {i}" for i in range(rng.randrange(0, 6))]
+        for _ in range(rng.randrange(0, 3)):
+            at = rng.randrange(len(own) + 1)
+            own[at:at] = rng.choice(blocks)
+        docs.append((d, "\n".join(own + rng.choices(pool, k=rng.randrange(0, 3)))))
+    docs += [(900, "\n".join(["same"] * 50)), (901, "\n".join(["same"] * 50 + ["end"])), (902, "\n".join(["a", "b"] * 40)), (903, "\n".join(f"l{i}" for i in range(4000))),
+             (904, "\n".join(f"l{i}" for i in range(4000)))]
+    got = {r.doc_id: r.text for r in lines.dedup(frame(spark, docs).repartition(5)).collect()}
+    assert [got[i] for i, _ in docs] == brute_lines(docs)
+    assert {x for t in got.values() for x in t.split("\n")} >= {x for _, t in docs for x in t.split("\n")} - {""}
+    assert len(got[904]) < 100 and len(got[902]) < 10   # equal documents lose everything, a period stays once
+    wanted = repeated_runs(docs)
+    held = sum(len(w) for w in wanted)
+    left = 0
+    for (i, t), w in zip(docs, wanted):
+        stay = collections.Counter(got[i].split("\n"))
+        left += sum(stay[x] >= n for x, n in collections.Counter(t.split("\n")[j] for j in w).items())
+    assert held > 1000 and left < 0.05 * held
+
+
+def test_line_dedup_hot_chunk(spark):
+    """One block in 40 % of the rows: the first place keeps it, the others lose it but for a few edges of equal class."""
+    docs = [(None, BLOCK)] + [(d, f"head {d}\n{BLOCK}\ntail {d}" if d % 5 < 2 else f"only {d}\nand {d}") for d in range(2000)]
+    got = {r.doc_id: r.text for r in lines.dedup(frame(spark, docs).repartition(8)).collect()}
+    assert [got[i] for i, _ in docs] == brute_lines(docs)
+    clean = [got[d] == (f"head {d}\ntail {d}" if d % 5 < 2 else f"only {d}\nand {d}") for d in range(2000)]
+    assert got[None] == BLOCK and sum(clean) >= 1990
+
+
 # ---------------------------------------------------------------- 4
 
 def test_quality_edges(odd, none):
