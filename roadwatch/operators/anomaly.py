@@ -232,14 +232,16 @@ def anomaly_summary(flagged: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------- comparisons
-def predicted_vs_actual(df: DataFrame) -> DataFrame:
-    """Replay rule: breakdowns are predicted High, the closure flag predicts itself, 2 hours."""
+def predicted_vs_actual(df: DataFrame, actual_duration: Column | None = None) -> DataFrame:
+    """Replay rule: breakdowns are predicted High, the closure flag predicts itself, 2 hours. ``actual_duration`` is
+    added where it is known."""
     closed = F.coalesce(F.col("requires_road_closure"), F.lit(False))
     return df.select(
         F.col("id").alias("incident_id"),
         F.when(F.col("event_cause") == "vehicle_breakdown", "High").otherwise("Low").alias("predicted_priority"),
         closed.alias("predicted_closure"), F.lit(2.0).alias("predicted_duration"),
-        F.coalesce("priority", F.lit("Low")).alias("actual_priority"), closed.alias("actual_closure"))
+        F.coalesce("priority", F.lit("Low")).alias("actual_priority"), closed.alias("actual_closure"),
+        *([] if actual_duration is None else [actual_duration.alias("actual_duration")]))
 
 
 def accuracy_metrics(log: DataFrame) -> DataFrame:

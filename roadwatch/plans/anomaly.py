@@ -236,6 +236,31 @@ def stream_accuracy_log(spark, sf):
     return A.accuracy_metrics(_sink(spark, T.accuracy_log(live), "accuracy"))
 
 
+_OUTCOMES = (", o AS (SELECT log.*, CASE WHEN closed_datetime >= start_datetime AND closed_datetime <= start_datetime + INTERVAL 24 HOUR "
+             "THEN (epoch_us(closed_datetime) - epoch_us(start_datetime)) / 3600000000.0::DOUBLE END AS actual_duration FROM log JOIN incidents ON id = incident_id)")
+
+
+def outcomes(spark, sf):
+    """Log of the live part with the closings as a second stream; both feeds are finished."""
+    live, ends = publish_live(spark, sf), new_folder(spark, "closings-by-day")
+    T.publish_closings(incidents(spark, sf), ends)
+    T.close_outcomes(spark, live, ends)
+    return _sink(spark, T.outcome_log(with_clean_causes(T.replay_source(spark, live)), T.closing_source(spark, ends)), "outcomes")
+
+
+@query("stream_outcome_log", on_incidents(_LIVE_PVA + _OUTCOMES + " SELECT * REPLACE (round(actual_duration, 6) AS actual_duration) FROM o").replace(") , cut", "), cut"))
+def stream_outcome_log(spark, sf):
+    return outcomes(spark, sf).withColumn("actual_duration", F.round("actual_duration", 6))
+
+
+@query("stream_outcome_accuracy", on_incidents(_LIVE_PVA + _OUTCOMES + " SELECT count(*) AS n, round(avg(CAST(predicted_closure = actual_closure AS INTEGER)), 6) AS closure_accuracy, "
+       "round(avg(CAST(predicted_priority = actual_priority AS INTEGER)), 6) AS priority_accuracy, "
+       "round(avg(abs(predicted_duration - actual_duration)), 6) AS duration_mae FROM o").replace(") , cut", "), cut"))
+def stream_outcome_accuracy(spark, sf):
+    """Accuracy with the duration error that a replay without closings can't know."""
+    return A.accuracy_metrics(outcomes(spark, sf))
+
+
 @query("stream_checkpoint", on_incidents(_BY_DAY))
 def stream_checkpoint(spark, sf):
     """Two runs over a growing feed share a checkpoint: the second reads only the new files."""

@@ -58,6 +58,48 @@ def accuracy_log(stream: DataFrame) -> DataFrame:
     return predicted_vs_actual(stream).withColumn("actual_duration", F.lit(None).cast("double"))
 
 
+CLOSING_SCHEMA = "id bigint, closed_at timestamp, day date"
+
+
+def publish_closings(incidents: DataFrame, path: str, mode: str = "append") -> None:
+    """The closings of incidents as a feed of their own, laid out by the day of the closing."""
+    ends = incidents.filter("closed_datetime IS NOT NULL").select("id", F.col("closed_datetime").cast("timestamp").alias("closed_at"))
+    ends.withColumn("day", F.to_date("closed_at")).write.mode(mode).partitionBy("day").parquet(path)
+
+
+def closing_source(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(CLOSING_SCHEMA)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path).drop("day")
+
+
+def close_outcomes(spark: SparkSession, feed: str, closings: str, wait_hours: int = 24) -> None:
+    """End both feeds with a marker after every incident's waiting time, so that the log gets its last rows.
+
+    Call it once nothing more comes. The marker among the closings has an id of its own; neither marker reaches the log.
+    """
+    close_feed(spark, feed, wait_hours + 3)
+    limit = spark.read.schema(FEED_SCHEMA).parquet(feed).agg(F.max("ts").cast("timestamp").alias("closed_at"))
+    last = spark.read.schema(CLOSING_SCHEMA).parquet(closings).agg(F.max("closed_at").alias("closed_at"))
+    marker = limit.unionByName(last).agg(F.max("closed_at").alias("closed_at")).filter("closed_at IS NOT NULL")
+    publish_closings(marker.select(F.lit(-1).cast("bigint").alias("id"), F.col("closed_at").alias("closed_datetime")), closings)
+
+
+def outcome_log(stream: DataFrame, closings: DataFrame, wait_hours: int = 24, delay: str = "1 hour") -> DataFrame:
+    """Prediction beside outcome, with the actual duration in hours from a second stream of closings.
+
+    An event waits ``wait_hours`` of event time for its closing; then it is logged without a duration and leaves the state,
+    which so holds the events and closings of that span alone, dealt by id. A closing that comes after that, or that is
+    earlier than its event, changes nothing. Of repeated closings the first to arrive counts, so a row is never doubled.
+    """
+    first = closings.withWatermark("closed_at", delay).dropDuplicatesWithinWatermark(["id"]).withColumnRenamed("id", "closing_id")
+    waits = F.col("closed_at").between(F.col("start_datetime"), F.col("start_datetime") + F.expr(f"INTERVAL {wait_hours} HOURS"))
+    both = stream.withWatermark("start_datetime", delay).join(first, (F.col("id") == F.col("closing_id")) & waits, "left_outer")
+    hours = (F.unix_micros("closed_at") - F.unix_micros("start_datetime")) / 3.6e9
+    return predicted_vs_actual(both, hours)
+
+
 def run_to_end(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Process everything there is into parquet and stop; a later call goes on where this one ended."""
     query = (
