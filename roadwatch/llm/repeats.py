@@ -4,8 +4,9 @@ Equal windows must meet in one task, so each window is named by its anchor, the
 neighbouring windows with one anchor form a segment. A segment whose anchor occurs once holds no repeat; one whose anchor
 only ever occurs with equal bytes is repeated as a whole, and neither needs sorting. Where an anchor has several variants, or
 occurs twice inside a segment, one copy of each variant goes to a suffix array: two-stage sorting (suffixes smaller than their successors are sorted, the rest is induced by
-scanning buckets), then common prefixes of neighbours. Anchors with too many variants for one task count
-hashes of their windows instead, which finds the same strings.
+scanning buckets), then common prefixes of neighbours. Segments longer than CUT, which only periodic text has, are cut into
+pieces that overlap by a window less one byte. The variants of an anchor with more than MAX_VARIANTS of them are segmented again by a second
+hash, and what is still too much for one task groups its windows by their bytes. So a task's bytes are bounded, and the strings found the same.
 
 Null texts are empty; texts shorter than LENGTH lose nothing; very long texts are cut into pieces whose windows overlap.
 Each row is a document of its own, so repeated rows are each other's copies. Null ids and extra columns are passed through; empty
@@ -32,7 +33,9 @@ GRAM = 40
 PIECE = 1 << 20
 #: low bits of an anchor that hold its place while minima are taken
 _PLACE = 22
-#: variants of one anchor that go into one suffix array
+#: bytes of one segment
+CUT = 1024
+#: variants of one anchor that go into one suffix array, which so holds at most this many times CUT bytes and PIECE
 MAX_VARIANTS = 10_000
 
 _BASE = 0x9E3779B97F4A7C15
@@ -46,12 +49,13 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _gram_hashes(data: np.ndarray) -> np.ndarray:
+def _gram_hashes(data: np.ndarray, seed: int = 0) -> np.ndarray:
     """A mixed polynomial hash of every GRAM-byte string."""
     n = data.size
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), out=prefix[1:])
     x = (prefix[GRAM:] - prefix[:-GRAM]) * _powers(pow(_BASE, -1, 1 << 64), n - GRAM + 1)
+    x ^= np.uint64(seed)
     x ^= x >> np.uint64(31)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(29)
@@ -69,7 +73,16 @@ def _window_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(ahead[: m - width + 1], behind[width - 1: m])
 
 
-def segments(texts: list[bytes], length: int = LENGTH) -> list[tuple[np.ndarray, ...]]:
+def _cut_long(first: np.ndarray, stop: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments cut to CUT bytes at most, each window in one piece, and the segment that each piece comes from."""
+    step = max(CUT - length + 1, 1)
+    parts = -(-(stop - first - length + 1) // step)
+    of = np.repeat(np.arange(first.size), parts)
+    at = first[of] + step * (np.arange(of.size) - np.repeat(np.cumsum(parts) - parts, parts))
+    return at, np.minimum(at + step + length - 1, stop[of]), of
+
+
+def segments(texts: list[bytes], length: int = LENGTH, seed: int = 0) -> list[tuple[np.ndarray, ...]]:
     """Per text: anchors, hashes of the segments' bytes, their first bytes, the bytes after their last, and whether the
     anchor occurs more than once in the segment, which may then repeat itself."""
     empty = (*(np.empty(0, np.int64) for _ in range(4)), np.empty(0, bool))
@@ -81,7 +94,7 @@ def segments(texts: list[bytes], length: int = LENGTH) -> list[tuple[np.ndarray,
     buffer = b"".join(texts[i] for i in long_)
     ends = np.cumsum(sizes[long_])
     begins = ends - sizes[long_]
-    grams = _gram_hashes(np.frombuffer(buffer, np.uint8))
+    grams = _gram_hashes(np.frombuffer(buffer, np.uint8), seed)
     bits, place = np.uint64(_PLACE), np.uint64((1 << _PLACE) - 1)
     low = _window_min(grams >> bits << bits | np.arange(grams.size, dtype=np.uint64) & place, length - GRAM + 1)
     at, low = low & place, low >> bits
@@ -90,10 +103,15 @@ def segments(texts: list[bytes], length: int = LENGTH) -> list[tuple[np.ndarray,
         own = low[a:b - length + 1]
         first = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
         stop = np.append(first[1:], own.size) + length - 1
-        hashes = np.array([digest(view[a + s:a + e]) for s, e in zip(first.tolist(), stop.tolist())], np.uint64)
         moved = np.concatenate([[0], at[a:b - length + 1][1:] != at[a:b - length + 1][:-1]])
         moved[first] = 0
-        out[i] = (own[first].view(np.int64), hashes.view(np.int64), first, stop, np.add.reduceat(moved, first) > 0)
+        several = np.add.reduceat(moved, first) > 0
+        anchors = own[first].view(np.int64)
+        if int((stop - first).max()) > CUT:
+            first, stop, of = _cut_long(first, stop, length)
+            anchors, several = anchors[of], several[of]
+        hashes = np.array([digest(view[a + s:a + e]) for s, e in zip(first.tolist(), stop.tolist())], np.uint64)
+        out[i] = (anchors, hashes.view(np.int64), first, stop, several)
     return out
 
 
@@ -216,39 +234,72 @@ def repeated_starts(strings: list[bytes], length: int = LENGTH) -> list[np.ndarr
     return [hit[b:b + max(0, n - length + 1)] for b, n in zip(begins, sizes)]
 
 
-def _runs(mask: np.ndarray) -> list[dict]:
+def _runs(mask: np.ndarray, at: int) -> list[dict]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-    return [{"lo": int(a), "hi": int(b)} for a, b in zip(edge[::2], edge[1::2])]
+    return [{"lo": at + int(a), "hi": at + int(b)} for a, b in zip(edge[::2], edge[1::2])]
 
 
 _MARKS = "a long, h long, runs array<struct<lo: long, hi: long>>"
+_PIECES = "g long, a long, h long, at long, data binary"
 
 
 def _mark(length: int):
+    """Windows that occur again among the pieces of their group ``g``; pieces come in order of it."""
     target = pa.schema([("a", pa.int64()), ("h", pa.int64()), ("runs", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))])
 
     def solve(rows):
-        masks = repeated_starts([r[2] for r in rows], length)
-        kept = [(a, h, runs) for (a, h, _), mask in zip(rows, masks) if (runs := _runs(mask))]
+        masks = repeated_starts([r[4] for r in rows], length)
+        kept = [(a, h, runs) for (_, a, h, at, _), mask in zip(rows, masks) if (runs := _runs(mask, at))]
         return pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], f.type) for i, f in enumerate(target)], schema=target)
 
     def run(batches):
         rows, held = [], 0
         for batch in batches:
-            for a, h, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if held >= PIECE and rows[-1][0] != a:   # variants of one anchor stay together
+            for row in zip(*(batch.column(c).to_pylist() for c in ("g", "a", "h", "at", "data"))):
+                if held >= PIECE and rows[-1][0] != row[0]:   # pieces of one group stay together
                     yield solve(rows)
                     rows, held = [], 0
-                rows.append((a, h, data))
-                held += len(data)
+                rows.append(row)
+                held += len(row[4])
         if rows:
             yield solve(rows)
 
     return run
 
 
+def _again(length: int):
+    """The variants of a heavy anchor in segments by a second hash; equal windows get equal groups."""
+    target = pa.schema([("g", pa.int64()), ("a", pa.int64()), ("h", pa.int64()), ("at", pa.int64()), ("data", pa.binary())])
+
+    def run(batches):
+        for part in slices(batches, "data", PIECE):
+            rows = part.to_pydict()
+            out = []
+            for a, h, data, (anchors, _, first, stop, _) in zip(rows["a"], rows["h"], rows["data"], segments(rows["data"], length, _BASE)):
+                groups = anchors ^ np.int64(a)
+                out += [(g, a, h, s, data[s:e]) for g, s, e in zip(groups.tolist(), first.tolist(), stop.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(target)], schema=target)
+
+    return run
+
+
 # ---------------------------------------------------------------- on Spark
 
+def _by_weight(pieces: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Pieces of groups that one task can hold, and those of the others."""
+    heavy = pieces.groupBy("g").agg(F.count("*").alias("v")).where(F.col("v") > limit).select("g")
+    return pieces.join(heavy, "g", "left_anti"), pieces.join(heavy, "g", "left_semi")
+
+
+def _by_bytes(pieces: DataFrame, length: int) -> DataFrame:
+    """The marks of pieces whose windows meet by their bytes, counted before the shuffle."""
+    windows = F.transform(F.sequence(F.lit(0), F.octet_length("data") - length), lambda i: F.struct(i.alias("i"), F.substr("data", i + 1, F.lit(length)).alias("w")))
+    opened = pieces.select("a", "h", "at", F.explode(windows).alias("x")).select("a", "h", (F.col("at") + F.col("x.i")).alias("lo"), "x.w")
+    twice = opened.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    found = opened.join(twice, "w").groupBy("a", "h").agg(F.collect_set(F.struct("lo", (F.col("lo") + 1).alias("hi"))).alias("runs"))
+    return found
+
+
 def covers(rows: DataFrame, length: int = LENGTH, max_variants: int = MAX_VARIANTS) -> DataFrame:
     """(rk, tk, cover): the byte ranges (lo, hi) of each document that repeated strings cover, not merged.
 
@@ -266,21 +317,17 @@ def covers(rows: DataFrame, length: int = LENGTH, max_variants: int = MAX_VARIAN
     variants = mixed.groupBy("a", "h").agg(F.count("*").alias("m"), F.min(F.struct(*_KEY, "start", "stop")).alias("p"))
     variants = stored(variants, "variants")
     # every place of a variant with several copies is repeated; it still meets its siblings below
-    heavy = variants.groupBy("a").agg(F.count("*").alias("v")).where(F.col("v") > max_variants).select("a", F.lit(True).alias("heavy"))
-    picks = variants.join(heavy, "a", "left").select("p.*", "a", "h", "m", F.coalesce("heavy", F.lit(False)).alias("heavy"))
-    picks = picks.groupBy(*_KEY).agg(F.collect_list(F.struct("a", "h", "m", "heavy", "start", "stop")).alias("picks"))
+    picks = variants.select("p.*", "a", "h").groupBy(*_KEY).agg(F.collect_list(F.struct("a", "h", "start", "stop")).alias("picks"))
     data = rows.join(picks, _KEY).dropDuplicates(_KEY).select(F.col("text").cast("binary").alias("data"), F.explode("picks").alias("p"))
-    data = stored(data.select("p.a", "p.h", "p.m", "p.heavy", F.expr("substring(data, p.start + 1, p.stop - p.start)").alias("data")), "variant-bytes")
+    data = stored(data.select(F.col("p.a").alias("g"), "p.a", "p.h", F.lit(0).cast("long").alias("at"), F.expr("substring(data, p.start + 1, p.stop - p.start)").alias("data")), "variant-bytes")
 
-    light = data.where("not heavy").select("a", "h", "data").repartition("a").sortWithinPartitions("a")
-    marks = light.mapInArrow(_mark(length), _MARKS)
-    windows = F.transform(F.sequence(F.lit(0), F.octet_length("data") - length), lambda i: F.struct(i.alias("i"), F.substr("data", i + 1, F.lit(length)).alias("w")))
-    opened = data.where("heavy").select("a", "h", "m", F.explode(windows).alias("x"))
-    opened = opened.select("a", "h", "m", F.col("x.i").alias("i"), F.xxhash64("x.w").alias("w1"), F.crc32("x.w").alias("w2"))
-    twice = opened.groupBy("w1", "w2").agg(F.sum("m").alias("n")).where("n > 1").drop("n")
-    by_hash = opened.join(twice, ["w1", "w2"]).groupBy("a", "h").agg(F.collect_list(F.struct(F.col("i").cast("long").alias("lo"), (F.col("i") + 1).cast("long").alias("hi"))).alias("runs"))
+    light, heavy = _by_weight(data, max_variants)
+    finer = stored(heavy.mapInArrow(_again(length), _PIECES), "pieces")
+    light_again, rest = _by_weight(finer, max_variants)
+    marks = light.unionByName(light_again).repartition("g").sortWithinPartitions("g").mapInArrow(_mark(length), _MARKS)
+    marks = marks.unionByName(_by_bytes(rest, length))
 
-    single = mixed.join(marks.unionByName(by_hash), ["a", "h"]).select(*_KEY, "start", F.explode("runs").alias("r"))
+    single = mixed.join(marks, ["a", "h"]).select(*_KEY, "start", F.explode("runs").alias("r"))
     single = single.select(*_KEY, (F.col("start") + F.col("r.lo")).cast("int").alias("lo"), (F.col("start") + F.col("r.hi") + (length - 1)).cast("int").alias("hi"))
     several = mixed.join(variants.where("m > 1").select("a", "h"), ["a", "h"]).select(*_KEY, F.col("start").alias("lo"), F.col("stop").alias("hi"))
     return whole.unionByName(single).unionByName(several).groupBy(*_KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("cover"))

@@ -472,7 +472,7 @@ def test_repeated_windows():
             assert [seen[s[i:i + n]] > 1 for i in range(len(s) - n + 1)] == mask.tolist()
 
 
-@pytest.mark.parametrize("variants", [repeats.MAX_VARIANTS, 1])
+@pytest.mark.parametrize("variants", [repeats.MAX_VARIANTS, 3, 1])
 def test_suffix_dedup(spark, sf, odd, variants):
     more = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id") + 100, "text").toDF("doc_id", "text").collect()]
     docs = [*ROWS, *more, (999, "xy" * 2000)]
@@ -489,6 +489,25 @@ def test_long_text_in_pieces(monkeypatch):
     assert start[0] == 0 and stop[-1] == len(text) and sorted(w for a, b in zip(start, stop) for w in range(a, b - 199)) == list(range(len(text) - 199))
 
 
+def test_rule_lines_are_few_short_variants():
+    """A periodic segment of any size is cut into pieces, nearly all of them equal."""
+    for text in (b"-" * 200_000, b"=-" * 100_000, b"head " + b"abc" * 70_000 + b" tail"):
+        _, hashes, start, stop, own = repeats.segments([text])[0]
+        assert (stop - start).max() <= repeats.CUT and len(set(hashes.tolist())) <= 16 and own.any()
+        windows = np.concatenate([np.arange(a, b - 199) for a, b in zip(start, stop)])
+        assert (windows == np.arange(len(text) - 199)).all()
+
+
+def test_rule_lines(spark):
+    """300 rule lines of 200 KB, a third of them equal: their bytes go whole, and of what stands before them what others share."""
+    heads = [f"<{i}>" if i % 3 else "" for i in range(300)]
+    ends = collections.Counter(h[k:] for h in heads for k in range(len(h)))
+    rows = {r.doc_id: r for r in repeats.dedup(frame(spark, [(i, h + "-" * 200_000) for i, h in enumerate(heads)]).repartition(6)).collect()}
+    for i, h in enumerate(heads):
+        shared = max((len(h) - k for k in range(len(h)) if ends[h[k:]] > 1), default=0)
+        assert (rows[i].n_bytes, rows[i].n_removed, rows[i].n_spans) == (200_000 + len(h), 200_000 + shared, 1)
+
+
 def test_suffix_clean(odd, none):
     out = repeats.clean(odd)
     assert out.columns == odd.columns and out.count() == len(ROWS) and repeats.clean(none).count() == 0
