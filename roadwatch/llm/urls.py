@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: rules are compiled into one expression per row; larger lists belong into a table
+#: rules that are compiled into one expression per row; more of them, or a table of rules, meet the URLs in joins
 MAX_RULES = 2_000
 SIZES = (3, 4, 5)
 FEATURES = 1 << 16
@@ -71,8 +71,6 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def rule_for(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
     """Text and verdict of the longest rule that fits, null without one; of equally long ones that with the longer host."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     text = verdict = None
     for rule in sorted(rules, key=lambda r: (len(r.text), len(r.host), r.text), reverse=True):
         fits = ((host == rule.host) | host.endswith("." + rule.host)) & path.startswith(rule.path)
@@ -82,6 +80,35 @@ def rule_for(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Col
     return (none, none) if text is None else (text, verdict)
 
 
+def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """(verdict, text); of rules with one text the first."""
+    first = {r.text: r.verdict for r in reversed(rules)}
+    return spark.createDataFrame([(v, t) for t, v in first.items()], "verdict string, text string")
+
+
+def rules_by_join(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path, rule, verdict) for the distinct (host, path) that a rule of the table (verdict, text) fits, the same rule as
+    ``rule_for``'s; of verdicts for one text the smallest.
+
+    A host meets rules through its suffixes, a path through its prefixes of the lengths that rules of that suffix have, both by
+    equality. So a host with very many rules, or very many URLs, forms no pairs beyond labels times lengths.
+    """
+    slash = F.instr("text", "/")
+    table = rules.where("text IS NOT NULL").groupBy("text").agg(F.min("verdict").alias("verdict")).select(
+        "text", "verdict", F.when(slash > 0, F.substr("text", F.lit(1), slash - 1)).otherwise(F.col("text")).alias("rule_host"),
+        F.when(slash > 0, F.substr("text", slash)).otherwise("").alias("rule_path"))
+    lengths = table.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("lengths"))
+    labels = F.split("host", r"\.", -1)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    hosts = urls.select("host").distinct().select("host", F.explode(F.array_distinct(suffixes)).alias("rule_host")).join(lengths, "rule_host")
+    prefixes = F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n")
+    asked = urls.select("host", "path").distinct().join(hosts, "host").select("host", "path", "rule_host", prefixes)
+    asked = asked.withColumn("rule_path", F.substr("path", F.lit(1), F.col("n"))).drop("n")
+    best = F.max(F.struct(F.length("text"), F.length("rule_host"), "text", "verdict")).alias("best")
+    return asked.join(table, ["rule_host", "rule_path"]).groupBy("host", "path").agg(best).select(
+        "host", "path", F.col("best.text").alias("rule"), F.col("best.verdict").alias("verdict"))
+
+
 def _grams(value: Column, mark: str) -> Column:
     """Hash input: the n-grams of one part, each behind its mark; a part shorter than n has none of that length."""
     def of(n: int) -> Column:
@@ -114,13 +141,20 @@ def fit(labelled: DataFrame) -> PipelineModel:
     return PipelineModel([hashing, regression.fit(hashing.transform(table))])
 
 
-def judge(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
-    """(page_id, host, path, rule, verdict, score): score is the model's probability of an unwanted host."""
-    model = fit(labelled if labelled is not None else labelled_urls(pages.sparkSession))
+def judge(pages: DataFrame, rules: list[Rule] | DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+    """(page_id, host, path, rule, verdict, score): score is the model's probability of an unwanted host. ``rules`` may also be
+    a table (verdict, text) of any size."""
+    spark = pages.sparkSession
+    model = fit(labelled if labelled is not None else labelled_urls(spark))
     host, path = host_and_path(F.col("url"))
     table = pages.select("page_id", host.alias("host"), path.alias("path"))
+    if isinstance(rules, list) and len(rules) <= MAX_RULES:
+        text, verdict = rule_for(F.col("host"), F.col("path"), rules)
+    else:
+        known = rules_by_join(table, rules_table(spark, rules) if isinstance(rules, list) else rules)
+        table = table.join(known.withColumnRenamed("verdict", "_verdict"), ["host", "path"], "left")
+        text, verdict = F.col("rule"), F.col("_verdict")
     scored = model.transform(with_grams(table, F.col("host"), F.col("path")))
-    text, verdict = rule_for(F.col("host"), F.col("path"), rules)
     score = vector_to_array("probability")[1]
     own = F.when(score >= threshold, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", text.alias("rule"), F.coalesce(verdict, own).alias("verdict"), score.alias("score"))

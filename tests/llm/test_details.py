@@ -44,6 +44,32 @@ def test_hosts_paths_and_rules_against_plain_python(spark, sf):
     assert {r.rule for r in got.values()} >= {"org/", "example.org/es/", "example.org/en/1"}
 
 
+def test_many_rules_meet_urls_in_joins(spark, monkeypatch):
+    """Lists beyond the limit and tables of rules find the rule that plain Python finds; one host holds most URLs and rules."""
+    rng = random.Random(2)
+    hosts = ["org", "b.org", "a.b.org", "c.a.b.org", "xb.org", "net.", "", "b..org"]
+
+    def path():
+        return "/" + "".join(rng.choice("ab/") for _ in range(rng.randrange(0, 7)))
+
+    rules = [urls.Rule(rng.choice(["allow", "block"]), rng.choice(hosts + ["b.org"] * 8) + (path() if rng.random() < 0.9 else "")) for _ in range(250)]
+    first = {}
+    for r in rules:
+        first.setdefault(r.text, r)
+    rows = [(i, f"x://{rng.choice(hosts + ['a.b.org'] * 8)}{path()}") for i in range(600)] + [(600, None), (601, "x://b.org"), (602, "x://b.org"), (None, "x://b.org/a")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    table = spark.createDataFrame([(r.verdict, r.text, 1) for r in first.values()] + [("allow", None, 1)], "verdict string, text string, host int")
+    as_expression = sorted(map(str, urls.judge(pages, list(first.values())).collect()))
+    monkeypatch.setattr(urls, "MAX_RULES", 10)
+    for given in (rules, table):
+        got = urls.judge(pages, given)
+        assert sorted(map(str, got.collect())) == as_expression
+    for r in got.collect():
+        want = plain_rule(r.host, r.path, list(first.values()))
+        assert r.rule == (want and want.text) and (not want or r.verdict == want.verdict)
+    assert urls.judge(pages, table.limit(0)).where("rule IS NOT NULL").count() == 0
+
+
 # ---------------------------------------------------------------- 5
 def test_perfect_hash_skips_gaps():
     table = bpe.PerfectHash([b"a", b"", b"b", b"", b"", b"cd"])

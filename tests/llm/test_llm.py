@@ -515,12 +515,71 @@ def test_suffix_clean(odd, none):
 
 # ---------------------------------------------------------------- pipeline
 
+def without_repeats(texts, length=200):
+    """Texts less every byte under a repeated string, by counting all windows."""
+    data = [t.encode() for t in texts]
+    seen = collections.Counter(d[k:k + length] for d in data for k in range(len(d) - length + 1))
+    out = []
+    for d in data:
+        gone = {b for k in range(len(d) - length + 1) if seen[d[k:k + length]] > 1 for b in range(k, k + length)}
+        out.append(bytes(x for b, x in enumerate(d) if b not in gone).decode("utf-8", "ignore"))
+    return out
+
+
+def brute_survivors(docs, distance=4):
+    """The smallest id of each group of linked fingerprints."""
+    prints = [(i, brute_fingerprint(t)) for i, t in docs]
+    root = {i: i for i, _ in prints}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, (i, f) in enumerate(prints):
+        for j, g in prints[:k]:
+            if (f ^ g).bit_count() <= distance:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {find(i) for i, _ in prints}
+
+
 def test_pipeline(spark, sf):
+    """Every stage against plain Python on its own input: rows, texts and untouched columns; run() against the last texts."""
+    from tokenizers import Tokenizer
+
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
+    others = [c for c in columns if c not in ("text", "n_chars")]
+    steps = [docs]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = docs.count()
-        docs = stage(spark, docs, sf).cache()
-        assert docs.columns == columns and 0 < docs.count() <= before, name
-    ids = {r.doc_id for r in docs.collect()}
-    assert ids == {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()}
+        steps.append(stage(spark, steps[-1], sf).cache())
+        assert steps[-1].columns == columns, name
+    tables = [{r.doc_id: r for r in step.collect()} for step in steps]
+    assert all(len(t) == s.count() for t, s in zip(tables, steps))
+    first, judged, lined, single, cleaned = tables
+    scores = classifier.score(docs, spark.read.parquet(f"{sf}/labels.parquet")).where("predicted = 1")
+    assert judged == {r.doc_id: first[r.doc_id] for r in scores.select("doc_id").collect()} and 0 < len(judged) < len(first)
+
+    order = sorted(judged)
+    expected = dict(zip(order, brute_lines([(i, judged[i].text) for i in order])))
+    assert {i: r.text or "" for i, r in lined.items()} == expected and any(expected[i] != judged[i].text for i in order)
+    assert set(single) == brute_survivors([(i, lined[i].text) for i in order]) and all(single[i] == lined[i] for i in single)
+    order = sorted(single)
+    assert {i: r.text or "" for i, r in cleaned.items()} == dict(zip(order, without_repeats([single[i].text or "" for i in order])))
+    for before, after in ((judged, lined), (single, cleaned)):
+        assert all(r.n_chars == len(r.text or "") or r == before[i] for i, r in after.items())
+        assert all([r[c] for c in others] == [before[i][c] for c in others] for i, r in after.items())
+
+    tokenizer = Tokenizer.from_file(P.path(corpus_pipeline.TOKENIZER))
+    pieces = collections.defaultdict(list)
+    for r in corpus_pipeline.run(spark, sf).collect():
+        pieces[r.doc_id].append(r)
+    assert set(pieces) == set(cleaned)
+    for i, own in pieces.items():
+        ids, at = tokenizer.encode(cleaned[i].text or "", add_special_tokens=False).ids + [1], 0
+        for r in sorted(own, key=lambda r: r.start):
+            assert (r.start, r.doc_tokens) == (at, len(ids))
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[at:at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
