@@ -53,7 +53,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: hashes, automata and tokenizers have no SQL form; the stages are tested against brute force
+#: hashes, suffix arrays and tokenizers have no SQL form; tests/llm compares every stage with plain Python
 ORACLE_SQL = None
 
 
