@@ -536,6 +536,30 @@ def write_run_metadata(spark, sf):
                       "dbscan.n_clusters", "dbscan.n_noise", "overall_closure_baseline")
 
 
+_LEVELS = ("HIGH", "MEDIUM", "LOW")
+
+
+@query("write_area_metadata", "SELECT * FROM (" + geo.STATS_SQL + " SELECT count(*) AS clusters, "
+       + ", ".join(f"count(*) FILTER (WHERE risk_level = '{v}') AS {v.lower()}_clusters" for v in _LEVELS) + " FROM st) a, ("
+       + corridors.RISK_SQL + " SELECT count(*) AS corridors, CAST(sum(event_count) AS BIGINT) AS corridor_events, "
+       + ", ".join(f"count(*) FILTER (WHERE risk_tier = '{v}') AS {v.lower()}_corridors" for v in _LEVELS)
+       + f", {S.LAT_MIN}::DOUBLE AS lat_min, {S.LAT_MAX}::DOUBLE AS lat_max, {S.LON_MIN}::DOUBLE AS lon_min, {S.LON_MAX}::DOUBLE AS lon_max FROM cr) b")
+def write_area_metadata(spark, sf):
+    """The spatial part of the run's metadata: the box, clusters by risk level and corridors by tier; one row, counted before it meets."""
+    def by_level(column):
+        return [F.count_if(F.col(column) == v).alias(v.lower()) for v in _LEVELS]
+
+    path = new_folder(spark, "area-metadata")
+    tiers = corridors.risk(spark, sf).agg(
+        F.struct(F.count("*").alias("n"), F.sum("event_count").alias("events"), *by_level("risk_tier"))).scalar()
+    box = F.struct(*[F.lit(getattr(S, n)).alias(n.lower()) for n in ("LAT_MIN", "LAT_MAX", "LON_MIN", "LON_MAX")])
+    levels = F.struct(F.count("*").alias("n"), *by_level("risk_level"))
+    D.write_json(geo.cluster_table(spark, sf).agg(levels.alias("clusters")).select("clusters", tiers.alias("corridors"), box.alias("box")), path)
+    doc = spark.read.json(path)
+    return doc.select(F.col("clusters.n").alias("clusters"), F.col("corridors.n").alias("corridors"), F.col("corridors.events").alias("corridor_events"),
+                      *[F.col(f"{part}.{v.lower()}").alias(f"{v.lower()}_{part}") for part in ("clusters", "corridors") for v in _LEVELS], "box.*")
+
+
 @query("export_plans", dep.rules_sql(
     "SELECT incident_id, impact_score, recommended_officers, recommended_barricades FROM (SELECT *, row_number() OVER (ORDER BY id) AS rn FROM pl) WHERE rn <= 20",
     dep.ALL_CASES + " WHERE assigned_to_police_id IS NOT NULL"))
