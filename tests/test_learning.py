@@ -3,8 +3,10 @@
 import inspect
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +130,38 @@ def test_quantile_leaves_are_exact(made):
         score = score + tree.value[leaf]
 
 
+def test_leaf_counts_hold_only_what_occurs():
+    """Counting residuals of 32 leaves takes memory for the buckets that occur, not 65,536 cells a leaf, and one batch a model."""
+    rng = np.random.default_rng(3)
+    n, models = 2000, 6
+    tree = B.Tree.of(5)
+    tree.feature[:31], tree.cut[:31] = np.arange(31) % 5, rng.integers(10, 50, 31)
+    tree.value[:] = rng.normal(size=63)
+    specs = [B.Spec("q", "z", "quantile", held_out=f, quantile=0.7) for f in range(models)]
+    work = B._Work(specs, [np.arange(5)] * models, [0] * models, [0.5] * models, [[tree]] * models, [tree] * models, [[]] * models, 0)
+    bins, y, fold = rng.integers(0, 64, (n, 5)).astype(np.uint8), rng.normal(size=n), rng.integers(0, models, n)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(fold, pa.int32()), pa.array(np.arange(n)), pa.array(y), B._binary(bins),
+                                        B._binary(np.zeros((n, models)))], names=["id", "fold", "h", "z", "bins", "raw"])
+    half = [batch.slice(0, 700), batch.slice(700)]
+    tracemalloc.start()
+    upper = list(B._residual_counts(work, 1, list(range(models)), None)(half))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(upper) == models and peak < 8_000_000
+    shares = dict.fromkeys(range(models), 0.7)
+    first = [r for b in B._selected(None, shares)(upper) for r in b.to_pylist()]
+    prefix, ranks = ({(r["model"], r["leaf"]): r[c] for r in first} for c in ("at", "rank"))
+    lower = B._residual_counts(work, 1, list(range(models)), prefix)(half)
+    found = {(r["model"], r["leaf"]): r["at"] for b in B._selected(ranks, shares)(lower) for r in b.to_pylist()}
+    leaf = tree.leaves(bins, np.arange(5))
+    rows = np.flatnonzero(fold != 2)
+    assert (tree.leaves(bins, np.arange(5), rows) == leaf[rows]).all() and len(set(leaf.tolist())) > 10
+    residual = (y - tree.value[leaf]).astype(np.float32)
+    for m, at in found:
+        own = np.sort(residual[(fold != m) & (leaf == at)])
+        assert B._unordered(prefix[m, at] << 16 | found[m, at]) == own[max(1, math.ceil(0.7 * own.size)) - 1]
+
+
 def test_a_hundred_thousand_stations(spark):
     """A column with 100,000 values fits in 64 bins and is the feature that counts; a column of pure names gains nothing held out."""
     n = 400_000
