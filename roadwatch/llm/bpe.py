@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from collections.abc import Callable
 from functools import lru_cache
 from hashlib import sha256
 
@@ -45,15 +46,17 @@ def read_ranks(path: str) -> list[bytes]:
 
 
 def _slot(h: int, d: int, n: int) -> int:
-    return ((((h ^ (d * _STEP)) & _ALL) * _MIX & _ALL) >> 31) % n
+    """``d`` is a displacement times ``_STEP``, as tables hold it."""
+    return (((h ^ d) * _MIX & _ALL) >> 31) % n
 
 
 class PerfectHash:
     """Minimal perfect hash of distinct byte strings: one displacement per bucket, every slot taken once."""
 
     def __init__(self, keys: list[bytes]):
-        """Empty keys, the gaps of a rank file, are not held."""
-        filled = [i for i, key in enumerate(keys) if key]
+        """An empty key is held where it stands alone; repeated ones are the gaps of a rank file."""
+        gaps = sum(not key for key in keys) > 1
+        filled = [i for i, key in enumerate(keys) if key or not gaps]
         keys, numbers = [keys[i] for i in filled], filled
         self.n = max(1, len(keys))
         self.buckets = max(1, len(keys) // 4)
@@ -76,7 +79,7 @@ class PerfectHash:
                 slots = [_slot(h, d, self.n) for h, _ in members]
                 if len(set(slots)) == len(slots) and not any(taken[s] for s in slots):
                     break
-                d += 1
+                d = d + _STEP & _ALL
             self.shift[bucket] = d
             for s, (_, i) in zip(slots, members):
                 taken[s], self.ids[s] = 1, i
@@ -85,10 +88,32 @@ class PerfectHash:
 
     def get(self, key: bytes) -> int:
         """The key's number, or -1 for a key that isn't held."""
-        h = xxhash.xxh64_intdigest(key)
-        d = self.shift[h % self.buckets]
-        s = -d - 1 if d < 0 else _slot(h, d, self.n)
-        return self.ids[s] if self.keys[s] == key else -1
+        return self.finder()(key)
+
+    def finder(self) -> Callable[[bytes], int]:
+        """``get`` as one call with its tables at hand, for loops."""
+        digest, shift, buckets, n, ids, keys = xxhash.xxh64_intdigest, self.shift, self.buckets, self.n, self.ids, self.keys
+
+        def get(key: bytes) -> int:
+            h = digest(key)
+            d = shift[h % buckets]
+            s = -d - 1 if d < 0 else (((h ^ d) * _MIX & _ALL) >> 31) % n
+            return ids[s] if keys[s] == key else -1
+
+        return get
+
+
+class Ranks(dict):
+    """Numbers of the byte strings asked for lately: merging asks for the same few again and again. Emptied when full."""
+
+    def __init__(self, find: Callable[[bytes], int], limit: int = CACHE):
+        self.find, self.limit = find, limit
+
+    def __missing__(self, key: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        value = self[key] = self.find(key)
+        return value
 
 
 class Cache:
@@ -145,35 +170,33 @@ class Encoder:
         self.pieces = Cache(MERGED)
         self.stretched = Cache(MERGED)
         #: ranks of all pairs of bytes, with which every merge begins
-        self.pairs = [self.table.get(bytes([a, b])) for a in range(256) for b in range(256)]
+        self.rank = Ranks(self.table.finder()).__getitem__
+        self.pairs = [self.rank(bytes([a, b])) for a in range(256) for b in range(256)]
         self.decimal = [str(i) for i in range(len(tokens))]
 
     def merge(self, piece: bytes) -> list[int]:
         """Heap over linked bytes."""
-        n, rank = len(piece), self.table.get
+        n, rank, pairs, push, pop = len(piece), self.rank, self.pairs, heapq.heappush, heapq.heappop
         after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = []
-        for i in range(n - 1):
-            r = self.pairs[piece[i] << 8 | piece[i + 1]]
-            if r >= 0:
-                heap.append((r, i, i + 2))
+        heap = [(r, i, i + 2) for i, (a, b) in enumerate(zip(piece, piece[1:])) if (r := pairs[a << 8 | b]) >= 0]
         heapq.heapify(heap)
         while heap:
-            _, i, stop = heapq.heappop(heap)
+            _, i, stop = pop(heap)
             j = after[i] if end[i] else n
             if j >= n or not end[i] or end[j] != stop:
                 continue   # one of its sides has been merged meanwhile
             end[i], after[i], end[j] = stop, after[j], 0
             if after[j] < n:
                 before[after[j]] = i
-                r = rank(piece[i:end[after[i]]])
+                far = end[after[i]]
+                r = rank(piece[i:far])
                 if r >= 0:
-                    heapq.heappush(heap, (r, i, end[after[i]]))
+                    push(heap, (r, i, far))
             p = before[i]
             if p >= 0:
                 r = rank(piece[p:stop])
                 if r >= 0:
-                    heapq.heappush(heap, (r, p, stop))
+                    push(heap, (r, p, stop))
         out, i = [], 0
         while i < n:
             out.append(rank(piece[i:end[i]]))
@@ -181,10 +204,10 @@ class Encoder:
         return out
 
     def _pieces(self, found: list[str]) -> list[bytes]:
-        out = []
+        out, rank = [], self.rank
         for piece in found:
             data = piece.encode("utf-8", "replace")
-            whole = self.table.get(data)
+            whole = rank(data) if data else -1
             out.append(np.array([whole] if whole >= 0 else self.merge(data), np.uint32).tobytes())
         return out
 

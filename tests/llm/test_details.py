@@ -77,6 +77,13 @@ def test_perfect_hash_skips_gaps():
     assert bpe.PerfectHash([]).get(b"a") == -1
 
 
+def test_a_single_gap_is_no_token_of_an_empty_match():
+    """A lone empty key is held by the table, but an empty pre-token has no ids."""
+    tokens = [bytes([i]) for i in range(256)] + [b""]
+    assert bpe.PerfectHash(tokens).get(b"") == 256
+    assert bpe.Encoder(tokens, r"[a-z]|(?=\d)").encode("a1b").tolist() == [97, 98]
+
+
 def test_other_patterns_match_whole_texts():
     tokens = bpe.read_ranks(P.path(queries.RANKS))
     encoder = bpe.Encoder(tokens, r"[a-z]+ [a-z]+|.")      # pre-tokens cross a blank
