@@ -133,3 +133,13 @@ def test_strict_radius(spark):
     inc = table(spark, np.array([[12.8999, 77.5]])).withColumns(
         {"end_lat": F.lit(12.9001), "end_lon": F.lit(77.5), "has_end_coord": F.lit(True)})
     assert [r.node for r in N.blocked_nodes(nodes, inc).collect()] == [0]
+
+
+def test_no_side_of_a_grid_join_is_gathered_in_the_driver(spark):
+    """However small the cells look, they are met by sorting, and nothing is cached in all its shuffle partitions."""
+    points = spark.createDataFrame([(i, 12.9 + i * 0.001, 77.5 + i % 7 * 0.002) for i in range(60)], "id long, lat double, lon double")
+    cells = N.prepared(points, {"n": F.count("*")})
+    for out in (N.nearest_distance(points, points), N.radius_totals(cells, cells, 500.0, {"n": "sum"}), N.radius_totals(cells, cells, 500.0, {"n": "sum"}, limit=1)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan and "InMemoryTableScan" not in plan
+    assert {r.distance_m for r in N.nearest_distance(points, points).collect()} == {0.0}
