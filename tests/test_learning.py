@@ -162,6 +162,41 @@ def test_leaf_counts_hold_only_what_occurs():
         assert B._unordered(prefix[m, at] << 16 | found[m, at]) == own[max(1, math.ceil(0.7 * own.size)) - 1]
 
 
+@pytest.mark.parametrize("loss, subsample", [("log", 1.0), ("log", 0.6), ("square", 1.0), ("quantile", 1.0)])
+def test_block_sums_equal_plain_sums(loss, subsample):
+    """Whole columns at a time: places are leaves, and the sums of several batches are those of a loop over rows."""
+    rng = np.random.default_rng(5)
+    n, columns = 900, np.array([3, 0, 4])
+    current, before = B.Tree.of(3), B.Tree.of(6)
+    for tree, inner in ((current, [0, 1]), (before, range(63))):
+        tree.feature[list(inner)], tree.cut[list(inner)] = rng.integers(0, 3, len(inner)), rng.integers(10, 50, len(inner))
+        tree.value[:] = rng.normal(size=tree.value.size)
+    spec = B.Spec("m", "z", loss, held_out=1, subsample=subsample, quantile=0.8)
+    starts, nodes = np.array([0, 64, 128, 192]), [2, 3]
+    work = B._Work([spec], [columns], [0], [0.4], [[before, before]], [current], [nodes], 7, [starts])
+    bins, fold, h = rng.integers(0, 64, (n, 6)).astype(np.uint8), rng.integers(0, 3, n), rng.integers(0, 1 << 62, n)
+    y = np.where(rng.random(n) < 0.1, np.nan, rng.integers(0, 2, n) if loss == "log" else rng.normal(size=n))
+    raw = rng.normal(size=(n, 1))
+    assert (before.places(B._turned(bins), columns) == before.leaves(bins, columns)).all()
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(fold, pa.int32()), pa.array(h), pa.array(y), B._binary(bins), B._binary(raw)],
+                                       names=["id", "fold", "h", "z", "bins", "raw"])
+    got = {r["node"]: np.frombuffer(r["sums"]).reshape(3, -1) for b in B._histograms(work, 1)([batch.slice(0, 400), batch.slice(400)]) for r in b.to_pylist()}
+    wanted = {node: np.zeros((3, 192)) for node in nodes}
+    leaf, score = current.leaves(bins, columns), raw[:, 0] + 2 * before.value[before.leaves(bins, columns)]
+    g, d = work.gradient(0, y, score)
+    drawn = work.drawn(0, h) if subsample < 1 else np.full(n, True)
+    for i in np.flatnonzero((fold != 1) & ~np.isnan(y) & drawn):
+        if leaf[i] in wanted:
+            for j, c in enumerate(columns):
+                wanted[leaf[i]][:, 64 * j + bins[i, c]] += (g[i], d[i], 1)
+    assert set(got) == set(nodes) and all(np.allclose(got[k], wanted[k], atol=1e-9) and wanted[k][2].any() for k in nodes)
+
+
+def test_missing_counts_are_zero():
+    column = pa.array([[1.0, 2.0], None, [3.0, 4.0]])
+    assert B._counts(column, 2).tolist() == [[1, 2], [0, 0], [3, 4]] and B._counts(column.slice(1), 2).tolist() == [[0, 0], [3, 4]]
+
+
 def test_a_hundred_thousand_stations(spark):
     """A column with 100,000 values fits in 64 bins and is the feature that counts; a column of pure names gains nothing held out."""
     n = 400_000
