@@ -1,6 +1,9 @@
 """Ranking, quantiles, evaluation, density, forest and streaming on small fixtures."""
 
+import math
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +95,40 @@ def test_density_equals_the_dense_sum(spark):
     assert res[1] == 1.0 and res[2] == 0.0
 
 
+def test_density_sums_of_a_task():
+    """A task adds its points up itself: one row for each cell that a point of a surface reaches, also at and beyond the grid's edge."""
+    rng = np.random.default_rng(4)
+    kernels = {1: (9e4, 7e4, 2e4), 2: (4e6, 5e6, -1e6)}
+    rows = [(int(rng.integers(1, 3)), rng.uniform(S.LAT_MIN - 0.02, S.LAT_MAX + 0.02), rng.uniform(S.LON_MIN - 0.02, S.LON_MAX + 0.02), float(rng.integers(1, 11))) for _ in range(300)]
+    rows += [(1, S.LAT_MIN, S.LON_MAX, 2.0), (2, 12.95, 77.5, 0.0)]
+    parts = []
+    for sid, lat, lon, w in rows:
+        pyy, pxx, pxy = kernels[sid]
+        det = pyy * pxx - pxy * pxy
+        parts.append((sid, lat, lon, w, pyy, pxx, pxy, 8 * math.sqrt(pxx / det), 8 * math.sqrt(pyy / det)))
+    names = ["sid", "lat", "lon", "w", "pyy", "pxx", "pxy", "ry", "rx"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part)], names=names) for part in (parts[:130], parts[130:])]
+    got = [r for b in D._spread(batches) for r in b.to_pylist()]
+    wanted = {}
+    y, x = np.arange(D.N) * D.DY + S.LAT_MIN, np.arange(D.N) * D.DX + S.LON_MIN
+    for sid, lat, lon, w, pyy, pxx, pxy, *_ in parts:
+        dy, dx = (y - lat)[:, None], (x - lon)[None, :]
+        half = 0.5 * (dy * dy * pyy + dx * dx * pxx + 2 * dy * dx * pxy)
+        for i, j in zip(*np.nonzero(half <= 32)):
+            cell = sid * D.N * D.N + i * D.N + j
+            wanted[cell] = wanted.get(cell, 0.0) + w * math.exp(-half[i, j])
+    assert len(got) == len(wanted) and all(abs(r["density"] - wanted[r["cell"]]) < 1e-12 for r in got)
+
+
+def test_density_is_summed_by_one_task_per_core(spark):
+    """However many parts the points come in, no more tasks than cores write sums for cells."""
+    rows = [(12.9 + 0.001 * (i % 37), 77.5 + 0.0013 * (i % 41), "off_peak", "c", 1 + i % 9) for i in range(300)]
+    sp = spark.createDataFrame(rows, "lat double, lon double, time_band string, cause string, impact_score int").repartition(40)
+    each = D.by_surface(D.merged_points(sp).repartition(40), D.surfaces(sp)).persist()
+    sums = D.density_sums(each, D.kernels(D.weighted_moments(each)))
+    assert "Coalesce" in sums._jdf.queryExecution().executedPlan().toString() and not sums.isEmpty()
+
+
 def test_density_without_spread(spark):
     rng = np.random.default_rng(5)
     usual = [(12.9 + 0.05 * rng.random(), 77.5 + 0.05 * rng.random(), 5, "evening", "usual") for _ in range(60)]
