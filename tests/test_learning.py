@@ -329,3 +329,41 @@ def test_quality_queries(spark, short):
     assert [round(100 * r.importance, 2) for r in full[:12]] == [r.importance for r in top]
     same = run("save_models").first()
     assert same.n == same.same > 0
+
+
+# ----------------------------------------------------------------- packed rows
+def test_packed_blocks_count_like_loose_rows():
+    """A record of the state table is a block of rows, ordered by fold with unlabelled rows last; features of few bins are counted together."""
+    rng = np.random.default_rng(9)
+    n, sizes = 700, [2, 3, 64, 2, 24, 7]
+    columns, starts, nodes = np.arange(6), np.cumsum([0, *sizes]), [1, 2]
+    assert len(B._bundles(tuple(sizes))) < len(sizes)
+    tree = B.Tree.of(2)
+    tree.feature[0], tree.cut[0] = 2, 30
+    specs = [B.Spec("a", "z", held_out=1), B.Spec("b", "z", "square", held_out=0, subsample=0.5), B.Spec("q", "z", "quantile")]
+    work = B._Work(specs, [columns] * 3, [0] * 3, [0.4] * 3, [[]] * 3, [tree] * 3, [nodes] * 3, 4, [starts] * 3)
+    fold, h = np.sort(rng.integers(-1, 3, n)).astype(np.int32), rng.integers(0, 1 << 62, n)
+    y = np.where(np.arange(n) >= 600, np.nan, rng.integers(0, 2, n))
+    bins, raw = np.stack([rng.integers(0, s, n) for s in sizes], 1).astype(np.uint8), rng.normal(size=(n, 3))
+    loose = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(fold, mask=fold < 0), pa.array(h), pa.array(y), B._binary(bins), B._binary(raw)],
+                                       names=["id", "fold", "h", "z", "bins", "raw"])
+    records = [pa.RecordBatch.from_arrays(B._packed(fold[s], h[s], y[None, s], bins.T[:, s], raw.T[:, s]), names=list(B.PACKED)) for s in (slice(0, 450), slice(450, n))]
+    packed = [pa.Table.from_batches(records).combine_chunks().to_batches()[0]]
+    found = [{(r["model"], r["node"]): np.frombuffer(r["sums"]) for b in B._histograms(work, 1)(x) for r in b.to_pylist()} for x in ([loose], packed)]
+    assert len(found[0]) == 6 and found[0].keys() == found[1].keys()
+    assert all(np.allclose(v, found[1][k], atol=1e-9) for k, v in found[0].items())
+    for (m, node), sums in found[1].items():
+        use = ~np.isnan(y) & (fold != specs[m].held_out) & (work.drawn(m, h) if m == 1 else True) & ((bins[:, 2] > 30) == (node == 2))
+        assert all(np.array_equal(sums.reshape(3, -1)[2, starts[j]:starts[j + 1]], np.bincount(bins[use, j], minlength=s)) for j, s in enumerate(sizes))
+    counts = [[r for b in B._residual_counts(work, 1, [2], None)(x) for r in b.to_pylist()] for x in ([loose], packed)]
+    assert counts[0] == counts[1] and sum(np.frombuffer(r["n"], "<i8").sum() for r in counts[1]) == 600
+
+
+def test_state_rows_come_back_whole(spark, made):
+    """Keys may repeat, folds and labels may be missing: every row comes back once, with its own fold and label."""
+    rows, df = made
+    odd = df.withColumn("fold", F.when(F.col("id") % 7 != 0, F.col("fold"))).withColumn("id", F.expr("if(id < 3, 1, id)"))
+    grown = B.grow(odd, [B.Spec("q", "z", "square", held_out=0, trees=1), B.Spec("m", "y", trees=1)], ["a", "b"], ["cat"], 3)
+    got = grown.state.select("id", "fold", "z", "y")
+    wanted = odd.select("id", "fold", "z", F.col("y").cast("double").alias("y"))
+    assert got.exceptAll(wanted).isEmpty() and wanted.exceptAll(got).isEmpty()
