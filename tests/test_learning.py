@@ -2,6 +2,7 @@
 
 import inspect
 import math
+import os
 import random
 import tracemalloc
 
@@ -367,3 +368,52 @@ def test_state_rows_come_back_whole(spark, made):
     got = grown.state.select("id", "fold", "z", "y")
     wanted = odd.select("id", "fold", "z", F.col("y").cast("double").alias("y"))
     assert got.exceptAll(wanted).isEmpty() and wanted.exceptAll(got).isEmpty()
+
+
+# -------------------------------------------------------------- compiled loops
+_ODD = [("c", dict(label="y", held_out=1, balanced=True, depth=4)), ("d", dict(label="y", subsample=0.6, depth=6)), ("s", dict(label="z", loss="square", held_out=2, trees=3)),
+        ("q", dict(label="z", loss="quantile", quantile=0.8, held_out=0)), ("f", dict(label="y", features=("a", "cat")))]
+
+
+@pytest.fixture(scope="module")
+def both(spark, made):
+    """The same models grown by the compiled loops and by those in numpy; folds and labels may be missing."""
+    _, df = made
+    odd = df.withColumn("fold", F.when(F.col("id") % 7 != 0, F.col("fold")))
+    specs = [B.Spec(name, **{"trees": 7} | more) for name, more in _ODD]
+    assert B._engine(spark) is B._Compiled
+    return [B.grow(odd, specs, ["a", "b"], ["cat"], 3, snapshots=[3], engine=e) for e in (B._Compiled, B._Plain)]
+
+
+def test_compiled_loops_grow_the_trees_of_numpy(both):
+    fast, plain = both
+    for own, other in zip(fast.trees, plain.trees):
+        assert len(own) == len(other) and any((t.feature >= 0).sum() > 2 for t in own)
+        for a, b in zip(own, other):
+            assert np.array_equal(a.feature, b.feature) and np.array_equal(a.cut, b.cut) and np.abs(a.value - b.value).max() < 1e-12
+    for a, b in ((fast.state, plain.state), (fast.snapshots[3], plain.snapshots[3])):
+        x, y = ({r.id: r for r in t.collect()} for t in (a, b))
+        assert len(x) == 400 and all((x[i].fold, x[i].y, x[i].z) == (y[i].fold, y[i].y, y[i].z) for i in x)
+        assert max(abs(p - q) for i in x for p, q in zip(x[i].scores, y[i].scores)) < 1e-12
+
+
+def test_only_the_smaller_child_is_counted(made):
+    """Of two children one reaches the tasks, the one with fewer rows, and superseded steps leave the checkpoint folder."""
+    _, df = made
+    asked, written = [], []
+
+    class Watched(B._Compiled):
+        def sums(self, work):
+            asked.append(work.nodes[0])
+            found = super().sums(work)
+            written.append(list(self.written))
+            rows = {node: s[2, :work.starts[0][1]].sum() for (_, node), s in found.items()}
+            assert 2 * sum(rows.values()) <= 400 or work.nodes[0] == [0]
+            return found
+
+    grown = B.grow(df, [B.Spec("m", "y", trees=B.EVERY * B.WRITTEN * 2 + 1, depth=3)], ["a", "b"], ["cat"], 3, engine=Watched)
+    assert asked[0] == [0] and all(len({(n - 1) // 2 for n in nodes}) == len(nodes) for nodes in asked)
+    assert all(len(w) <= 1 for w in written) and len({w[0] for w in written if w}) == 3
+    local = [w[0].removeprefix("file:") for w in written if w]
+    assert [os.path.exists(p) for p in dict.fromkeys(local)] == [False, False, True]
+    assert (grown.trees[0][0].feature >= 0).sum() > 3
