@@ -129,6 +129,21 @@ def test_density_is_summed_by_one_task_per_core(spark):
     assert "Coalesce" in sums._jdf.queryExecution().executedPlan().toString() and not sums.isEmpty()
 
 
+def test_density_from_merged_points(spark, tmp_path):
+    """Merged points stand in for rows, and the rows behind a density query are read once."""
+    rows = [(i, 12.9 + 0.001 * (i % 37), 77.5 + 0.0013 * (i % 41), ("off_peak", "evening")[i % 2], "c", 1 + i % 9) for i in range(3200)]
+    spark.createDataFrame(rows, "id int, lat double, lon double, time_band string, cause string, impact_score int").write.parquet(f"{tmp_path}/sp")
+    sp = spark.read.parquet(f"{tmp_path}/sp")
+    merged = D.merged_points(sp)
+    assert merged.count() < 3200 and D.merged_points(merged) is merged
+    assert sorted(D.surfaces(sp).collect()) == sorted(D.surfaces(merged).collect())
+    at = spark.createDataFrame([(i, 12.9 + 0.002 * i, 77.5 + 0.002 * i) for i in range(20)], "point_id int, lat double, lon double")
+    first, second = ({r.point_id: r.density_score for r in D.density_at_points(at, x, D.peak_density(D.density_grid(x, kinds=("full",)))).collect()} for x in (sp, merged))
+    assert first == second and len(set(first.values())) > 5
+    for table in (D.density_grid(sp), D.density_at_points(at, sp, F.lit(1.0))):
+        assert f"{tmp_path}/sp" not in table._jdf.queryExecution().executedPlan().toString()
+
+
 def test_density_without_spread(spark):
     rng = np.random.default_rng(5)
     usual = [(12.9 + 0.05 * rng.random(), 77.5 + 0.05 * rng.random(), 5, "evening", "usual") for _ in range(60)]
